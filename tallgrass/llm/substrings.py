@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -57,23 +58,19 @@ WORDS, BYTES = Kind(True, 13, 6), Kind(False, 100, 32)
 
 
 class Tokens:
-    """The tokens of a slice: a code for each, and the tokens' bounds in bytes."""
+    """The tokens of a slice: a code for each, and the first token of each text."""
 
     def __init__(self, kind: Kind, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
         if kind.words:
-            self.starts, self.ends, self.firsts = word_bounds(data, offsets)
-            self.codes = span_hashes(data, self.starts, self.ends)
+            starts, ends, self.firsts = word_bounds(data, offsets)
+            self.codes = span_hashes(data, starts, ends)
         else:
-            self.starts = self.ends = None
             self.codes, self.firsts = _BYTE_CODE[data], offsets
 
-    def body(self, a: int, b: int) -> bytes:
-        """Content of tokens a to b (exclusive): bytes, or words joined by one space."""
-        if self.starts is None:
-            return self.data[a:b].tobytes()
-        whole = self.data[self.starts[a] : self.ends[b - 1]].tobytes()
-        return b" ".join(whole.split())
+
+def _parts(kind: Kind, text: bytes) -> bytes | list[bytes]:
+    """The tokens of one text: its bytes, or its words (``bytes.split`` splits at the six ASCII spaces)."""
+    return text.split() if kind.words else text
 
 
 def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +116,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.binary()), rows.column(3)], names=["id", "th", "packed", "doc_id"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     inflate = zstandard.ZstdDecompressor()
     for i, body in enumerate(batch.column("packed")):
-        yield i, np.frombuffer(inflate.decompress(body.as_buffer()), np.uint8)
+        yield i, inflate.decompress(body.as_buffer())
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
@@ -131,10 +128,11 @@ def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Record
     for batch in batches:
         ids, ths, runs = batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("runs")
         out, held = [], 0
-        for i, data in _unpacked(batch):
-            tokens = Tokens(kind, data, np.array([0, len(data)]))
+        for i, text in _unpacked(batch):
+            tokens = _parts(kind, text)
             for run in runs[i].as_py():
-                body = tokens.body(run["start"], run["start"] + run["n"] + kind.window - 1)
+                body = tokens[run["start"] : run["start"] + run["n"] + kind.window - 1]
+                body = b" ".join(body) if kind.words else body
                 out.append((run["mini"], xxhash.xxh3_128_digest(body), ids[i], run["start"], run["n"], ths[i], body))
                 held += len(body)
             if held > 1 << 22:
@@ -212,11 +210,15 @@ def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     runs = slim.select("id", "th", "text").mapInArrow(lambda it: _runs(it, kind), RUN_SCHEMA)
     place = F.struct("id", "start")
-    minis = runs.groupBy("mini").agg(F.count(F.lit(1)).alias("runs"), F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min(F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("start")).alias("first"))
-    seen = minis.where(F.col("first_id") < F.col("last_id") if kind.words else F.col("runs") > 1).select("mini", "first", "first_id", (F.col("low") != F.col("high")).alias("mixed"))
-    met = staged(runs.drop("body").join(seen, "mini"), "runs")
+    bounds = [F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("first_id")]
+    if kind.words:  # only documents count, not places in them
+        minis = runs.groupBy("mini").agg(*bounds, F.max("id").alias("last_id")).where("first_id < last_id").withColumn("first", F.lit(0))
+    else:
+        minis = runs.groupBy("mini").agg(*bounds, F.count(F.lit(1)).alias("runs"), F.min(F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("start")).alias("first")).where("runs > 1")
+    seen = minis.select("mini", "first", "first_id", (F.col("low") != F.col("high")).alias("mixed"))
+    met = staged(runs.drop("body").join(seen.drop("first") if kind.words else seen, "mini"), "runs")
     here = F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("start")
-    whole = met.where(~F.col("mixed") & (F.col("id") > F.col("first_id") if kind.words else here > F.col("first"))).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+    whole = met.where(~F.col("mixed") & (F.col("id") > F.col("first_id") if kind.words else (F.col("id") > F.col("first_id")) | (here > F.col("first")))).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     packed = slim.mapInArrow(_pack, "id long, th int, packed binary, doc_id long")
     # texts of mixed minimisers' runs
     lists = met.where("mixed").select("id", "th", F.struct("mini", "start", "n").alias("run")).distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
@@ -248,32 +250,25 @@ def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 def _cut(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, rows = batch.column("spans"), []
-        for i, data in _unpacked(batch):
-            tokens = Tokens(kind, data, np.array([0, len(data)])) if kind.words else None
-            n = len(tokens.codes) if kind.words else len(data)
-            edge = np.zeros(n + 1, np.int32)
-            found = spans[i].as_py()
+        for i, text in _unpacked(batch):
+            tokens, found = _parts(kind, text), spans[i].as_py()
+            n, kept = len(tokens), tokens
+            gone = np.zeros(n, bool)
             if found:
+                edge = np.zeros(n + 1, np.int32)
                 pairs = np.array([(s["a"], s["b"] + kind.window - 1) for s in found], np.int64)
                 np.add.at(edge, pairs[:, 0], 1)
                 np.add.at(edge, pairs[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = list(compress(tokens, (~gone).tolist())) if kind.words else np.frombuffer(text, np.uint8)[~gone].tobytes()
             if kind.words:
-                whole = data.tobytes().split() if not found else [w for w, g in zip(_split_words(data, tokens), gone.tolist(), strict=True) if not g]
-                kept = b" ".join(whole)
-            else:
-                kept = data[~gone].tobytes() if found else data.tobytes()
+                kept = b" ".join(kept)
             runs = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
             rows.append((n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)]], names=["doc_id", "n_tokens", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _split_words(data: np.ndarray, tokens: Tokens) -> list[bytes]:
-    whole = data.tobytes()
-    return [whole[a:b] for a, b in zip(tokens.starts.tolist(), tokens.ends.tolist(), strict=True)]
-
-
 def dedup(docs: DataFrame, kind: Kind) -> DataFrame:
     """``doc_id, n_tokens, n_removed, n_spans, kept_sha256`` of each row of ``docs``."""
     packed, cut = covered(docs, kind)
