@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII whitespace that separates words everywhere here: a word is ``[^\x20\x09-\x0D]+``.
 WORD_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-#: Python slices of an Arrow batch hold about this many text bytes, so scratch arrays stay near 100 MB.
-SLICE_BYTES = 1 << 20
+#: Python slices of an Arrow batch hold about this many text bytes, so scratch arrays stay in the cache.
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(WORD_SPACE)] = True
@@ -102,49 +102,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for equal content wherever it stands."""
-    n = len(data)
-    power = np.full(n + 1, _BASE)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, up to the n-th (kept for the next call)."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_BASE, _BASE_INV)):
+            out = np.full(max(n + 1, 1 << 19), base)
+            out[0] = 1
+            np.multiply.accumulate(out, out=out)
+            _powers[k] = out
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+def run_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of codes, the same for equal runs wherever they stand."""
+    n = len(codes)
+    power, inverse = powers(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * power[:n], out=total[1:])
-    inverse = np.full(n + 1, _BASE_INV)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(codes * power[:n], out=total[1:])
+    return mix((total[ends] - total[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return run_hashes(_BYTE_CODE[data], starts, ends)
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` successive codes (by doubling), ``len(codes) - k + 1`` of them."""
+def gram_hashes(codes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``k`` successive codes (a polynomial, by doubling), ``len(codes) - k + 1`` of them."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, shift, span, have, block = None, 0, 1, k, codes.astype(np.uint64)
+    out, shift, span, have, block = None, 0, 1, k, codes.astype(np.uint64, copy=False)
     while have:
         if have & 1:
             piece = block[shift : shift + n]
-            out = piece.copy() if out is None else mix(out) + piece * np.uint64(0xD6E8FEB86659FD93)
+            out = piece if out is None else out * np.uint64(pow(int(_BASE), span, 1 << 64)) + piece
             shift += span
         have >>= 1
         if have:
-            block = mix(block[:-span] * _BASE) + block[span:]
+            block = block[:-span] * np.uint64(pow(int(_BASE), span, 1 << 64)) + block[span:]
             span *= 2
-    return mix(out)
+    return mix(out ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def routes(codes: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def routes(codes: np.ndarray, firsts: np.ndarray, window: int, gram: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Cut all windows of ``window`` codes into runs that share a minimiser.
 
     The minimiser of a window is the leftmost of its ``gram``-code runs with the smallest hash, so equal windows have
     equal minimisers at equal places. Returns for each run: the text, its first window (index of a code), the number
-    of windows, the minimiser's hash. Within a run no two windows are equal.
+    of windows, the minimiser's hash, and its place counted from the first window. Within a run no two windows are
+    equal. Another ``seed`` gives another order of hashes.
     """
     n, none = len(codes), np.zeros(0, np.int64)
-    hashes = gram_hashes(codes, gram)
+    hashes = gram_hashes(codes, gram, seed)
     if n < window:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     m, width = len(hashes), window - gram + 1
     low = np.uint64((1 << 28) - 1)
     best = (hashes & ~low) | np.arange(m, dtype=np.uint64)  # a slice is far below 2**28 codes
@@ -162,7 +177,7 @@ def routes(codes: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> tup
     # a run ends at the next begin or at the last good window of its text
     last = firsts[text[begins] + 1] - window + 1
     stops = np.minimum(np.append(begins[1:], len(at)), last)
-    return text[begins], begins, stops - begins, hashes[at[begins]]
+    return text[begins], begins, stops - begins, hashes[at[begins]], at[begins] - begins
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -12,8 +12,9 @@ earlier in the corpus. The corpus is never searched against itself; windows are
    per content, to bounded shards. A shard finds the equal windows: the byte operator by a suffix array built by
    grouping (``suffixes.suffix_array``), the word operator by a compressed FM-index that the runs are streamed against
    (``suffixes.FMIndex``).
-   A minimiser with more than ``HOT`` contents would make a shard too large; its windows are dealt singly by their own
-   content instead, where the first of equal windows is a minimum (pre-summed), so no group is gathered at all.
+   A minimiser with more than ``HOT`` contents would make a shard too large; its runs are cut again by another order of
+   hashes, up to ``LEVELS`` times, which spreads them. Windows of what is still crowded are dealt singly by their own
+   content, where the first of equal windows is a minimum (pre-summed), so no group is gathered at all.
 4. The covered intervals of a text are gathered by its id (bounded by the text's own length) and cut out.
 
 Texts are zstd-compressed while they are shuffled by id. Rows are identified by id and a hash of the text.
@@ -39,11 +40,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import _BYTE_CODE, partitions, routes, slices, span_hashes, staged, word_bounds
+from tallgrass.llm.common import _BYTE_CODE, partitions, routes, run_hashes, slices, span_hashes, staged, word_bounds
 from tallgrass.llm.suffixes import FMIndex, equal_windows
 
 #: More contents of one minimiser than this are dealt by window; a shard's text is about so many bytes.
 HOT, SHARD_TEXT = 500, 1 << 20
+#: Times that a crowded minimiser's runs are cut again before its windows are dealt singly; largest group tried in pairs.
+LEVELS, PAIRS = 4, 12
 NULL_ID = (1 << 63) - 1
 
 
@@ -73,39 +76,26 @@ def _parts(kind: Kind, text: bytes) -> bytes | list[bytes]:
     return text.split() if kind.words else text
 
 
-def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of codes by powers, and inverse powers, for hashes of token runs."""
-    from tallgrass.llm.common import _BASE, _BASE_INV
-
-    n = len(codes)
-    power, inverse = np.full(n + 1, _BASE), np.full(n + 1, _BASE_INV)
-    power[0] = inverse[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(inverse, out=inverse)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * power[:n], out=total[1:])
-    return total, inverse
-
-
-def _runs(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """(mini, body_hash, id, th, start, n): one row per run."""
-    from tallgrass.llm.common import mix
-
+def _runs(batches: Iterator[pa.RecordBatch], kind: Kind, bodies: bool) -> Iterator[pa.RecordBatch]:
+    """One row per run. ``again``: an earlier run of the same text has the same minimiser. ``bodies``: for the counts of
+    minimisers (hashes of the runs), else for the runs themselves (where they are)."""
     for batch in batches:
         for rows, data, offsets in slices(batch, 2):
             tokens = Tokens(kind, data, offsets)
-            text, begin, n, mini = routes(tokens.codes, tokens.firsts, kind.window, kind.gram)
-            total, inverse = _sums(tokens.codes)
-            size = n + kind.window - 1
-            body = mix((total[begin + size] - total[begin]) * inverse[begin] + size.astype(np.uint64))
+            text, begin, n, mini, at = routes(tokens.codes, tokens.firsts, kind.window, kind.gram)
+            order = np.lexsort((begin, mini, text))
+            same = np.zeros(len(order), bool)
+            same[1:] = (mini[order][1:] == mini[order][:-1]) & (text[order][1:] == text[order][:-1])
+            again = np.empty(len(order), bool)
+            again[order] = same
             take = pa.array(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mini.view(np.int64)), pa.array(body.view(np.int64)), rows.column(0).take(take), rows.column(1).take(take), pa.array((begin - tokens.firsts[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["mini", "body", "id", "th", "start", "n"],
-            )
-
-
-RUN_SCHEMA = "mini long, body long, id long, th int, start int, n int"
+            first = [pa.array(mini.view(np.int64)), rows.column(0).take(take), pa.array(again)]
+            if bodies:
+                body = run_hashes(tokens.codes, begin, begin + n + kind.window - 1)
+                yield pa.RecordBatch.from_arrays([*first, pa.array(body.view(np.int64))], names=["mini", "id", "again", "body"])
+            else:
+                place = (begin - tokens.firsts[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*first, rows.column(1).take(take), pa.array(place), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["mini", "id", "again", "th", "start", "n", "at"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +114,6 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     """The candidate runs of each text with their content."""
-    names = ["mini", "key", "id", "start", "n", "th", "body"]
     for batch in batches:
         ids, ths, runs = batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("runs")
         out, held = [], 0
@@ -133,21 +122,63 @@ def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Record
             for run in runs[i].as_py():
                 body = tokens[run["start"] : run["start"] + run["n"] + kind.window - 1]
                 body = b" ".join(body) if kind.words else body
-                out.append((run["mini"], xxhash.xxh3_128_digest(body), ids[i], run["start"], run["n"], ths[i], body))
+                out.append((run["mini"], xxhash.xxh3_128_digest(body), ids[i], run["start"], run["n"], run["at"], ths[i], body))
                 held += len(body)
             if held > 1 << 22:
-                yield _body_batch(out, names)
+                yield _body_batch(out)
                 out, held = [], 0
-        yield _body_batch(out, names)
+        yield _body_batch(out)
 
 
-def _body_batch(out: list, names: list[str]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+def _body_batch(out: list) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["mini", "key", "id", "start", "n", "at", "th", "body"]
     columns = list(zip(*out, strict=True)) or [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-BODY_SCHEMA = "mini long, key binary, id long, start int, n int, th int, body binary"
+BODY_SCHEMA = "mini long, key binary, id long, start int, n int, at int, th int, body binary"
+
+
+def _recut(batches: Iterator[pa.RecordBatch], kind: Kind, level: int) -> Iterator[pa.RecordBatch]:
+    """The runs of crowded minimisers cut again by another order of hashes, as runs of their own."""
+    for batch in batches:
+        out = []
+        for id_, start, th, body in zip(*[batch.column(c).to_pylist() for c in ("id", "start", "th", "body")], strict=True):
+            data = np.frombuffer(body, np.uint8)
+            tokens, parts = Tokens(kind, data, np.array([0, len(data)])), _parts(kind, body)
+            for _, begin, n, mini, at in zip(*[x.tolist() for x in routes(tokens.codes, tokens.firsts, kind.window, kind.gram, level)], strict=True):
+                part = parts[begin : begin + n + kind.window - 1]
+                part = b" ".join(part) if kind.words else part
+                out.append((mini - (1 << 64) if mini >> 63 else mini, xxhash.xxh3_128_digest(part), id_, start + begin, n, at, th, part))
+        yield _body_batch(out)
+
+
+def _shared(left: bytes, right: bytes) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(left), len(right))
+    if left[:hi] == right[:hi]:
+        return hi
+    while lo < hi - 1:
+        mid = (lo + hi) // 2
+        if left[lo:mid] == right[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _partnered(bodies: list[bytes], places: list[int], window: int) -> list[int]:
+    """Contents of one minimiser that share a window with another: equal windows have the minimiser at the same place,
+    so what two contents share around it must be as long as a window. In large groups all are taken."""
+    if len(bodies) > PAIRS:
+        return list(range(len(bodies)))
+    before, after, found = [b[:p][::-1] for b, p in zip(bodies, places, strict=True)], [b[p:] for b, p in zip(bodies, places, strict=True)], set()
+    for i in range(len(bodies)):
+        for j in range(i):
+            if (i not in found or j not in found) and _shared(before[i], before[j]) + _shared(after[i], after[j]) >= window:
+                found |= {i, j}
+    return sorted(found)
 
 
 def _solve(pdf: pd.DataFrame, kind: Kind) -> pd.DataFrame:
@@ -171,13 +202,14 @@ def _solve(pdf: pd.DataFrame, kind: Kind) -> pd.DataFrame:
     else:
         minis = pdf["mini"].to_numpy()
         cuts = np.flatnonzero(np.append(True, minis[1:] != minis[:-1]))
-        bodies = pdf["body"].tolist()
+        bodies, places = pdf["body"].tolist(), pdf["at"].tolist()
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)], strict=True):
-            for group in equal_windows(bodies[a:b], kind.window):
-                first = min((ids[a + s], starts[a + s] + i) for s, i in group)
+            some = [a + i for i in _partnered(bodies[a:b], places[a:b], kind.window)]
+            for group in equal_windows([bodies[i] for i in some], kind.window) if some else []:
+                first = min((ids[some[s]], starts[some[s]] + i) for s, i in group)
                 for s, i in group:
-                    if (ids[a + s], starts[a + s] + i) > first:
-                        repeats[a + s].append(i)
+                    if (ids[some[s]], starts[some[s]] + i) > first:
+                        repeats[some[s]].append(i)
     spans = []
     for r in repeats:
         r = np.unique(np.array(r, np.int64))
@@ -203,37 +235,52 @@ def _windows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["mini", "key", "at", "window", "id", "place"])
 
 
+def _ranked(bodies: DataFrame) -> DataFrame:
+    """The first run of each content with the number of contents of its minimiser."""
+    firsts = bodies.groupBy("mini", "key").agg(F.min(F.struct("id", "start", "n", "at", "th", "body")).alias("f")).select("mini", "key", "f.*")
+    crowd = bodies.select("mini", "key").distinct().groupBy("mini").agg(F.count(F.lit(1)).alias("contents"))
+    return staged(firsts.join(crowd, "mini").withColumn("level", F.lit(0)), "firsts")
+
+
 def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """The packed texts ``(id, th, packed, doc_id)`` and the covered window ranges ``(id, th, a, b)``: windows a to b - 1
     of a text repeat."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    runs = slim.select("id", "th", "text").mapInArrow(lambda it: _runs(it, kind), RUN_SCHEMA)
-    place = F.struct("id", "start")
-    bounds = [F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("first_id")]
+    runs = slim.select("id", "th", "text")
+    counted = runs.mapInArrow(lambda it: _runs(it, kind, True), "mini long, id long, again boolean, body long")
+    minis = counted.groupBy("mini").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("again").alias("repeated"))
     if kind.words:  # only documents count, not places in them
-        minis = runs.groupBy("mini").agg(*bounds, F.max("id").alias("last_id")).where("first_id < last_id").withColumn("first", F.lit(0))
+        seen, later = minis.where("first_id < last_id"), F.col("id") > F.col("first_id")
     else:
-        minis = runs.groupBy("mini").agg(*bounds, F.count(F.lit(1)).alias("runs"), F.min(F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("start")).alias("first")).where("runs > 1")
-    seen = minis.select("mini", "first", "first_id", (F.col("low") != F.col("high")).alias("mixed"))
-    met = staged(runs.drop("body").join(seen.drop("first") if kind.words else seen, "mini"), "runs")
-    here = F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("start")
-    whole = met.where(~F.col("mixed") & (F.col("id") > F.col("first_id") if kind.words else (F.col("id") > F.col("first_id")) | (here > F.col("first")))).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
+        seen, later = minis.where("first_id < last_id or repeated"), (F.col("id") > F.col("first_id")) | F.col("again")
+    seen = seen.select("mini", "first_id", (F.col("low") != F.col("high")).alias("mixed"))
+    met = staged(runs.mapInArrow(lambda it: _runs(it, kind, False), "mini long, id long, again boolean, th int, start int, n int, at int").join(seen, "mini"), "runs")
+    whole = met.where(~F.col("mixed") & later).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
     packed = slim.mapInArrow(_pack, "id long, th int, packed binary, doc_id long")
     # texts of mixed minimisers' runs
-    lists = met.where("mixed").select("id", "th", F.struct("mini", "start", "n").alias("run")).distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    lists = met.where("mixed").select("id", "th", F.struct("mini", "start", "n", "at").alias("run")).distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     texts = packed.select("id", "th", "packed").join(lists, ["id", "th"])
     bodies = staged(texts.mapInArrow(lambda it: _bodies(it, kind), BODY_SCHEMA), "bodies")
-    firsts = bodies.groupBy("mini", "key").agg(F.min(F.struct("id", "start", "n", "body")).alias("f")).select("mini", "key", "f.*")
-    crowd = bodies.select("mini", "key").distinct().groupBy("mini").agg(F.count(F.lit(1)).alias("contents"))
-    ranked = staged(firsts.join(crowd, "mini"), "firsts")
-    volume = ranked.where(F.col("contents") <= HOT).agg(F.sum(F.length("body"))).first()[0] or 0
+    ranked = _ranked(bodies)
+    crowded, all_bodies, all_ranked = ranked, bodies, ranked
+    for level in range(1, LEVELS + 1):
+        crowded = crowded.where(F.col("contents") > HOT)
+        if crowded.isEmpty():
+            break
+        again = staged(crowded.select("id", "start", "th", "body").mapInArrow(lambda it, level=level: _recut(it, kind, level), BODY_SCHEMA), "recut")
+        crowded = _ranked(again).withColumn("level", F.lit(level))
+        all_bodies, all_ranked = all_bodies.unionByName(again), all_ranked.unionByName(crowded)
+    bodies = all_bodies
+    # runs that were cut again are answered by their parts; only those of the last level go on as windows
+    ranked = all_ranked.withColumn("way", F.when(F.col("contents") <= HOT, "shard").when(F.col("level") < LEVELS, "parts").otherwise("windows"))
+    volume = ranked.where("way = 'shard'").agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(partitions(spark), int(volume // SHARD_TEXT) + 1)
     spans = "mini long, key binary, spans array<struct<a:int,b:int>>"
-    # a content alone of its minimiser (equal hashes of unequal bodies aside) has nothing to be compared with
-    some = ranked.where((F.col("contents") > 1) & (F.col("contents") <= HOT)).withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).repartition(shards, "shard")
+    # a content alone of its minimiser has nothing to be compared with
+    some = ranked.where("way = 'shard' and contents > 1").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).repartition(shards, "shard")
     solved = some.groupBy("shard").applyInPandas(lambda pdf: _solve(pdf, kind), spans)
-    single = ranked.where(F.col("contents") > HOT).select("mini", "key", "id", "start", "n", "body").mapInArrow(lambda it: _windows(it, kind), "mini long, key binary, at int, window binary, id long, place long")
+    single = ranked.where("way = 'windows'").select("mini", "key", "id", "start", "n", "body").mapInArrow(lambda it: _windows(it, kind), "mini long, key binary, at int, window binary, id long, place long")
     order = F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + (F.lit(0) if kind.words else F.col("place"))
     least = single.groupBy("window").agg(F.min(order).alias("least"))
     dealt = single.withColumn("order", order).join(least, "window").where("least < order").groupBy("mini", "key").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("spans"))
@@ -241,6 +288,7 @@ def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     heads = ranked.select(F.col("mini").alias("hm"), F.col("key").alias("hk"), F.col("id").alias("head_id"), F.col("start").alias("head_start"))
     book = staged(heads.join(answers, (F.col("hm") == F.col("m")) & (F.col("hk") == F.col("k")), "left").select("hm", "hk", "head_id", "head_start", "spans"), "book")
     placed = bodies.drop("body").join(book, (F.col("mini") == F.col("hm")) & (F.col("key") == F.col("hk")))
+    place = F.struct("id", "start")
     later = F.col("id") > F.col("head_id") if kind.words else place > F.struct(F.col("head_id").alias("id"), F.col("head_start").alias("start"))
     parts = F.when(later, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("spans"))
     cut = placed.select("id", "th", "start", F.explode(parts).alias("s")).select("id", "th", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
