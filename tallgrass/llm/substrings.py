@@ -46,7 +46,7 @@ from tallgrass.llm.suffixes import FMIndex, equal_windows
 #: More contents of one minimiser than this are dealt by window; a shard's text is about so many bytes.
 HOT, SHARD_TEXT = 500, 1 << 20
 #: Times that a crowded minimiser's runs are cut again before its windows are dealt singly; largest group tried in pairs.
-LEVELS, PAIRS = 4, 12
+LEVELS, PAIRS = 4, 100
 NULL_ID = (1 << 63) - 1
 
 
@@ -99,7 +99,7 @@ def _runs(batches: Iterator[pa.RecordBatch], kind: Kind, bodies: bool) -> Iterat
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for rows, data, offsets in slices(batch, 2):
             texts = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -116,13 +116,15 @@ def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Record
     """The candidate runs of each text with their content."""
     for batch in batches:
         ids, ths, runs = batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("runs")
+        cuts, flat = (runs.offsets.to_numpy() - runs.offsets[0].as_py()).tolist(), runs.flatten()
+        minis, starts, sizes, places = (flat.field(c).to_pylist() for c in ("mini", "start", "n", "at"))
         out, held = [], 0
         for i, text in _unpacked(batch):
             tokens = _parts(kind, text)
-            for run in runs[i].as_py():
-                body = tokens[run["start"] : run["start"] + run["n"] + kind.window - 1]
+            for r in range(cuts[i], cuts[i + 1]):
+                body = tokens[starts[r] : starts[r] + sizes[r] + kind.window - 1]
                 body = b" ".join(body) if kind.words else body
-                out.append((run["mini"], xxhash.xxh3_128_digest(body), ids[i], run["start"], run["n"], run["at"], ths[i], body))
+                out.append((minis[r], xxhash.xxh3_128_digest(body), ids[i], starts[r], sizes[r], places[r], ths[i], body))
                 held += len(body)
             if held > 1 << 22:
                 yield _body_batch(out)
@@ -168,17 +170,28 @@ def _shared(left: bytes, right: bytes) -> int:
     return lo
 
 
-def _partnered(bodies: list[bytes], places: list[int], window: int) -> list[int]:
-    """Contents of one minimiser that share a window with another: equal windows have the minimiser at the same place,
-    so what two contents share around it must be as long as a window. In large groups all are taken."""
+def _partnered(bodies: list[bytes], places: list[int], window: int) -> dict[bytes, list[tuple[int, int]]]:
+    """What the contents of one minimiser may share: texts, each with its (content, place in it).
+
+    Equal windows have the minimiser at the same place, so what two contents share around it must be as long as a
+    window, and a content is cut down to what it shares with any other. In large groups all are taken whole.
+    """
+    reach: dict[int, tuple[int, int]] = {}
     if len(bodies) > PAIRS:
-        return list(range(len(bodies)))
-    before, after, found = [b[:p][::-1] for b, p in zip(bodies, places, strict=True)], [b[p:] for b, p in zip(bodies, places, strict=True)], set()
-    for i in range(len(bodies)):
-        for j in range(i):
-            if (i not in found or j not in found) and _shared(before[i], before[j]) + _shared(after[i], after[j]) >= window:
-                found |= {i, j}
-    return sorted(found)
+        reach = {i: (p, len(b) - p) for i, (b, p) in enumerate(zip(bodies, places, strict=True))}
+    else:
+        before, after = [b[:p][::-1] for b, p in zip(bodies, places, strict=True)], [b[p:] for b, p in zip(bodies, places, strict=True)]
+        for i in range(len(bodies)):
+            for j in range(i):
+                x, y = _shared(before[i], before[j]), _shared(after[i], after[j])
+                if x + y >= window:
+                    for k in (i, j):
+                        u, v = reach.get(k, (0, 0))
+                        reach[k] = max(u, x), max(v, y)
+    texts: dict[bytes, list[tuple[int, int]]] = {}
+    for i, (x, y) in sorted(reach.items()):
+        texts.setdefault(bodies[i][places[i] - x : places[i] + y], []).append((i, places[i] - x))
+    return texts
 
 
 def _solve(pdf: pd.DataFrame, kind: Kind) -> pd.DataFrame:
@@ -204,12 +217,14 @@ def _solve(pdf: pd.DataFrame, kind: Kind) -> pd.DataFrame:
         cuts = np.flatnonzero(np.append(True, minis[1:] != minis[:-1]))
         bodies, places = pdf["body"].tolist(), pdf["at"].tolist()
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)], strict=True):
-            some = [a + i for i in _partnered(bodies[a:b], places[a:b], kind.window)]
-            for group in equal_windows([bodies[i] for i in some], kind.window) if some else []:
-                first = min((ids[some[s]], starts[some[s]] + i) for s, i in group)
-                for s, i in group:
-                    if (ids[some[s]], starts[some[s]] + i) > first:
-                        repeats[some[s]].append(i)
+            texts = _partnered(bodies[a:b], places[a:b], kind.window)
+            owners = list(texts.values())
+            for group in equal_windows(list(texts), kind.window, [len(o) > 1 for o in owners]) if texts else []:
+                found = [(a + i, starts[a + i] + at + place) for s, place in group for i, at in owners[s]]
+                first = min((ids[i], where) for i, where in found)
+                for i, where in found:
+                    if (ids[i], where) > first:
+                        repeats[i].append(where - starts[i])
     spans = []
     for r in repeats:
         r = np.unique(np.array(r, np.int64))
@@ -298,15 +313,16 @@ def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 def _cut(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, rows = batch.column("spans"), []
+        cuts, flat = (spans.offsets.to_numpy() - spans.offsets[0].as_py()).tolist(), spans.flatten()
+        begins, stops = flat.field("a").to_numpy(), flat.field("b").to_numpy()
         for i, text in _unpacked(batch):
-            tokens, found = _parts(kind, text), spans[i].as_py()
+            tokens, found = _parts(kind, text), cuts[i + 1] > cuts[i]
             n, kept = len(tokens), tokens
             gone = np.zeros(n, bool)
             if found:
                 edge = np.zeros(n + 1, np.int32)
-                pairs = np.array([(s["a"], s["b"] + kind.window - 1) for s in found], np.int64)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1], -1)
+                np.add.at(edge, begins[cuts[i] : cuts[i + 1]], 1)
+                np.add.at(edge, stops[cuts[i] : cuts[i + 1]] + (kind.window - 1), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = list(compress(tokens, (~gone).tolist())) if kind.words else np.frombuffer(text, np.uint8)[~gone].tobytes()
             if kind.words:

@@ -82,8 +82,9 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def equal_windows(segments: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """Groups of two or more equal windows of ``window`` bytes, as (segment, start in it)."""
+def equal_windows(segments: list[bytes], window: int, alone: list[bool] | None = None) -> list[list[tuple[int, int]]]:
+    """Groups of two or more equal windows of ``window`` bytes, as (segment, start in it). Windows of the segments
+    marked in ``alone`` are reported without a partner, too."""
     text: list[int] = []
     where: list[tuple[int, int]] = []
     for s, body in enumerate(segments):
@@ -94,21 +95,18 @@ def equal_windows(segments: list[bytes], window: int) -> list[list[tuple[int, in
         where.append((-1, 0))
     text.append(0)
     where.append((-1, 0))
-    found, before, open_ = [], None, None
+    found, before = [], None
     for p in suffix_array(text):
         s, i = where[p]
         if s < 0:
             continue  # its window would cross the segment's end; no equal windows lie around it
         body = segments[s][i : i + window]
         if body == before:
-            if open_ is None:
-                open_ = [last_seen]
-                found.append(open_)
-            open_.append((s, i))
+            found[-1].append((s, i))
         else:
-            before, open_ = body, None
-        last_seen = (s, i)
-    return found
+            before = body
+            found.append([(s, i)])
+    return [g for g in found if len(g) > 1 or alone and alone[g[0][0]]]
 
 
 class Wavelet:
