@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,8 @@ def fuse(rankers: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     both = reduce(DataFrame.unionByName, ranked)
     ranks = [F.max(F.when(F.col("ranker") == n, F.col("rank"))).alias(f"{n}_rank") for n in rankers]
     score = reduce(lambda a, b: a + b, [F.coalesce(1.0 / (k + F.col(f"{n}_rank")), F.lit(0.0)) for n in rankers])
-    return both.groupBy("id").agg(*ranks).withColumn("score", F.round(score, 6))
+    fused = both.groupBy("id").agg(*ranks).withColumn("score", F.round(score, 6))
+    return fused.na.fill(0, [f"{n}_rank" for n in rankers])  # 0: not ranked
 
 
 def best_window(text, words: list[str], width: int = 160) -> Column:
@@ -91,8 +93,6 @@ def proximity_bonus(text, words: list[str]) -> Column:
 
     Computed per row on the survivors only; the stretch is found by an Arrow UDF.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def bonus(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: 0.0 if (span := minimal_span(t or "", words)) is None else 0.05 / (1 + span / 40))

@@ -91,7 +91,7 @@ TRI = _bm25_sql([f"(length(low) - length(replace(low, '{q}', ''))) // {len(q)}"
 register("bm25_scores", lambda s, d: search.bm25(B.docs(s, d), QUERY), BM25)
 register("bm25_topk", lambda s, d: search.top(search.bm25(B.docs(s, d), QUERY), 50), f"SELECT * FROM ({BM25}) ORDER BY score DESC, id LIMIT 50")
 register("trigram_match", lambda s, d: search.top(search.trigram_bm25(B.docs(s, d), QUERY), 50), f"SELECT * FROM ({TRI}) ORDER BY score DESC, id LIMIT 50")
-register("rrf_fusion", lambda s, d: search.fuse({"bm25": search.top(search.bm25(B.docs(s, d), QUERY)), "dense": search.top(search.cosine(vectors(s, d), B.query_vector(s, d)))}), f"WITH b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({BM25}) QUALIFY r <= 50), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({COS}) QUALIFY r <= 50) SELECT coalesce(b.id, v.id) AS id, b.r AS bm25_rank, v.r AS dense_rank, round(coalesce(1.0::DOUBLE / (60 + b.r), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0), 6) AS score FROM b FULL JOIN v ON b.id = v.id")
+register("rrf_fusion", lambda s, d: search.fuse({"bm25": search.top(search.bm25(B.docs(s, d), QUERY)), "dense": search.top(search.cosine(vectors(s, d), B.query_vector(s, d)))}), f"WITH b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({BM25}) QUALIFY r <= 50), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({COS}) QUALIFY r <= 50) SELECT coalesce(b.id, v.id) AS id, coalesce(b.r, 0) AS bm25_rank, coalesce(v.r, 0) AS dense_rank, round(coalesce(1.0::DOUBLE / (60 + b.r), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0), 6) AS score FROM b FULL JOIN v ON b.id = v.id")
 register("hybrid_search", lambda s, d: search.hybrid(B.docs(s, d), vectors(s, d), B.query_text(s, d), B.query_vector(s, d)))
 VOCAB = "SELECT DISTINCT unnest(regexp_split_to_array(" + LOW + ", '[^a-z]+')) AS term FROM documents"
 register("fuzzy_terms", lambda s, d: search.correct(["thme", "thign", "witg", "xyzzyq", "tat"], B.docs(s, d).select(F.explode(F.split(T.ascii_lower(F.col("text")), "[^a-z]+")).alias("term")).where("length(term) >= 3").distinct()), f"SELECT word, min(distance_term).t AS term, min(distance_term).d AS distance FROM (SELECT word, {{'d': levenshtein(word, term), 't': term}} AS distance_term FROM (SELECT unnest(['thme', 'thign', 'witg', 'xyzzyq', 'tat']) AS word), ({VOCAB}) WHERE length(term) >= 3 AND abs(length(word) - length(term)) <= 1 AND levenshtein(word, term) <= 1) GROUP BY word")
