@@ -77,9 +77,10 @@ def fuse(rankers: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     return fused.na.fill(0, [f"{n}_rank" for n in rankers])  # 0: not ranked
 
 
-def best_window(text, words: list[str], width: int = 160) -> Column:
-    """SRCH-16/WIN-9: the window (stepping by half) with most distinct words, the earliest of equals."""
-    low, step = T.ascii_lower(text), width // 2
+def best_window(text, low, words: list[str], width: int = 160) -> Column:
+    """SRCH-16/WIN-9: the window (stepping by half) with most distinct words, the earliest of equals. ``low`` is a column
+    with the lower-cased text, so that it is not folded again for every window."""
+    step = width // 2
     starts = F.sequence(F.lit(0), F.greatest(F.char_length(text) - 1, F.lit(0)), F.lit(step))
     def hits(s):
         part = F.substring(low, s + 1, F.lit(width))
@@ -137,5 +138,6 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float],
     words = query_words(query)
     fused = fuse({"bm25": top(bm25(docs, words), k), "trigram": top(trigram_bm25(docs, words), k), "dense": top(cosine(vectors, vector), k)})
     hits = docs.join(F.broadcast(fused), "id")  # at most 3 * k rows
-    scored = hits.withColumn("score", F.round(F.col("score") + proximity_bonus(F.col("text"), words), 6)).withColumn("snippet", best_window(F.col("text"), words))
-    return scored.select("id", "score", "bm25_rank", "trigram_rank", "dense_rank", "snippet").orderBy(F.desc("score"), "id").limit(limit)
+    scored = hits.withColumn("score", F.round(F.col("score") + proximity_bonus(F.col("text"), words), 6)).orderBy(F.desc("score"), "id").limit(limit)
+    shown = scored.withColumn("low", T.ascii_lower(F.col("text")))
+    return shown.select("id", "score", "bm25_rank", "trigram_rank", "dense_rank", best_window(F.col("text"), F.col("low"), words).alias("snippet"))
