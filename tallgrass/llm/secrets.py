@@ -14,7 +14,6 @@ Defined cases: a null text is empty (no spans); positions are code points, end e
 
 from __future__ import annotations
 
-import hashlib
 import re
 import re._constants as C
 import re._parser as P
@@ -155,6 +154,8 @@ class Index:
         text = np.searchsorted(offsets, at, "right") - 1
         fits = at + 3 <= offsets[text + 1]
         pairs = np.unique(codes[at[fits]].astype(np.int64) << 32 | text[fits])
+        if not len(pairs):
+            return
         keys, first = np.unique(pairs >> 32, return_index=True)
         for key, rows in zip(keys.tolist(), np.split(pairs & 0xFFFFFFFF, first[1:]), strict=True):
             self.postings[key] = rows
