@@ -3,7 +3,7 @@
 A directory is indexed by the leading bits of a document's hash. Depth 0 is one bucket; a bucket that exceeds the byte
 limit splits on its next bit, so each bucket has a depth of its own and only oversized ones go deeper.
 
-The directory is found from byte sums of hash prefixes, ``STEP`` bits at a time: prefixes of the current depth are
+The directory is found from byte sums of hash prefixes, some bits at a time: prefixes of the current depth are
 summed (with map-side partial sums), rolled up to every depth between, and the shallowest prefix that fits ends the
 split. Only documents of still oversized prefixes go on, so a pass never touches settled ones. No pass gathers a
 bucket's documents: rows meet only as sums.
@@ -22,8 +22,8 @@ from tallgrass.llm.common import staged
 
 #: Bits of the hash, from MD5 of the id, that the directory may use.
 MAX_BITS = 60
-#: Bits that one pass refines. A pass has at most 2**STEP prefixes for each oversized bucket.
-STEP = 10
+#: Bits that the first pass and each later one refine; a later pass has at most 2**STEP prefixes for each oversized bucket.
+FIRST, STEP = 10, 4
 #: Production limit of a shard, in bytes of UTF-8 text.
 SHARD_BYTES = 1 << 20
 
@@ -46,17 +46,16 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     found, base = None, 0
     rest = sums
     while True:
-        top = min(MAX_BITS, base + STEP)
+        top = min(MAX_BITS, base + (STEP if base else FIRST))
         fine = rest.groupBy(prefix("__bits", top).alias("fine")).agg(F.sum("__size").alias("size"), F.sum("__docs").alias("docs"), F.min("__bits").alias("lo"), F.max("__bits").alias("hi"))
         levels = fine.select(F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(top))).alias("depth"), "size", "docs", "lo", "hi").withColumn("slot", F.expr(f"shiftright(lo, cast({MAX_BITS} - depth as int))"))
-        tree = levels.groupBy("depth", "slot").agg(F.sum("size").alias("shard_bytes"), F.sum("docs").alias("n_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        tree = staged(levels.groupBy("depth", "slot").agg(F.sum("size").alias("shard_bytes"), F.sum("docs").alias("n_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "tree")
         done = (F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi")) | (F.col("depth") == MAX_BITS)
-        # a bucket is a leaf if it is done and no ancestor of this pass is
-        leaf = tree.where(done)
-        inner = leaf.select(F.col("depth").alias("d"), "slot", "shard_bytes", "n_docs", "lo", "hi")
-        cover = fine.select("fine", F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(top))).alias("d")).withColumn("slot", F.expr(f"shiftright(fine, cast({top} - d as int))"))
-        first = cover.join(inner, ["d", "slot"]).groupBy("fine").agg(F.min(F.struct("d", "slot", "shard_bytes", "n_docs", "lo", "hi")).alias("leaf"))
-        leaves = staged(first.select(F.col("leaf.d").alias("depth"), "leaf.slot", "leaf.shard_bytes", "leaf.n_docs").distinct().withColumn("oversized", F.col("shard_bytes") > limit), "leaves")
+        # a bucket is a leaf if it is done and its parent is not; the parents of this pass's first level are oversized
+        split = tree.where(~done).select((F.col("depth") + 1).alias("pd"), F.col("slot").alias("ps"))
+        start = F.col("depth") == (base + 1 if base else 0)
+        below = tree.where(done & ~start).join(split, (F.col("depth") == F.col("pd")) & (F.expr("shiftright(slot, 1)") == F.col("ps")), "left_semi")
+        leaves = staged(tree.where(done & start).unionByName(below).select(F.col("depth"), "slot", "shard_bytes", "n_docs").withColumn("oversized", F.col("shard_bytes") > limit), "leaves")
         found = leaves if found is None else found.unionByName(leaves)
         if top == MAX_BITS:
             return found
