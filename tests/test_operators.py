@@ -1,0 +1,103 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tallgrass.functions import text as T
+from tallgrass.operators import changes, events, memory, prose, search
+from tallgrass.plans import registry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def rows(df):
+    cols = sorted(df.columns)
+    return sorted(tuple("~" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False)), cols
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_matches_sql(spark, duck, name):
+    got, want = rows(registry.queries()[name](spark, SF).toPandas()), rows(duck.sql(registry.oracle_sql()[name]).df())
+    assert got == want
+
+
+def one(spark, value, column):
+    return spark.createDataFrame([(value,)], "t string").select(column(F.col("t")).alias("x")).first().x
+
+
+@pytest.mark.parametrize("text,tokens", [("", 0), ("a", 1), ("abcd", 1), ("abcde", 2), ("ññññ", 1), (None, 0)])
+def test_token_estimate(spark, text, tokens):
+    assert one(spark, text, T.token_estimate) == tokens
+
+
+def test_line_stages(spark):
+    ten = "\n".join(map(str, range(1, 11)))
+    assert one(spark, "hello world", lambda c: T.truncate_lines(c, 5)) == "hell…"
+    assert one(spark, ten, lambda c: T.head_tail(c, 2, 2)).split("\n") == ["1", "2", "…", "9", "10"]
+    assert one(spark, "1\n2\n3\n4\n5", lambda c: T.max_lines(c, 2)).endswith("[+3 lines truncated]")
+    assert one(spark, "\u001b[31mred\u001b[0m", T.strip_ansi) == "red"
+
+
+def test_lint_predicates(spark):
+    assert one(spark, "──────────────", T.is_banner) and not one(spark, "----", T.is_banner)
+    assert one(spark, "// Layer 3 cache", T.has_layer_label) and not one(spark, "multilayer 3", T.has_layer_label)
+    assert one(spark, "a world-class thing", T.marketing_phrase) == "world-class"
+    assert one(spark, "## Goals", T.is_goal_header)
+
+
+def test_jaccard(spark):
+    df = spark.createDataFrame([(["foo", "bar", "baz"], ["foo", "bar", "qux"]), ([], [])], "a array<string>, b array<string>")
+    assert [r.x for r in df.select(T.jaccard(F.col("a"), F.col("b")).alias("x")).collect()] == [0.5, 0.0]
+
+
+def test_loops_are_capped(spark):
+    df = spark.createDataFrame([("s", i, "user", "please fix the failing build now") for i in range(5)], "session_id string, turn int, stream string, text string")
+    assert [r.is_loop for r in events.detect_loops(df).orderBy("turn").collect()] == [False, True, True, False, False]
+
+
+def test_read_decisions(spark):
+    data = [("s", "a", 1, 1.0, 10, False), ("s", "a", 2, 1.0, 10, False), ("s", "a", 3, 2.0, 10, False), ("s", "a", 4, 3.0, 10**9, False), ("s", "b", 5, 1.0, 10, True)]
+    got = events.read_decisions(spark.createDataFrame(data, "session_id string, path string, seq int, mtime double, size long, blocked boolean")).orderBy("seq")
+    assert [r.decision for r in got.collect()] == ["allow", "redundant", "delta", "allow", "blocked"]
+
+
+def test_decay(spark):
+    df = spark.createDataFrame([("guardrail", 1.0, 0), ("project", 1.0, 0), ("reference", 1.0, 0)], "kind string, relevance double, last_seen long")
+    at = lambda days: {r.kind: r.x for r in df.select("kind", memory.decayed(days * 86400).alias("x")).collect()}
+    assert at(30)["guardrail"] == 1.0 and 0.7 < at(30)["project"] < 1.0 and at(10000)["reference"] == 0.2
+
+
+def test_snapshot_difference(spark):
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
+    old = spark.createDataFrame([("b", "2"), ("c", "4"), ("d", "5")], "path string, hash string")
+    assert {r.path: r.change for r in changes.difference(new, old).collect()} == {"a": "added", "b": "unchanged", "c": "modified", "d": "removed"}
+
+
+def test_search_helpers():
+    assert search.query_words("Delta, delta! DELTA cache") == ["delta", "cache"]
+    assert search.minimal_span("alpha one two three delta cache beta", ["delta", "cache"]) == 11
+    assert search.minimal_span("only delta here", ["delta", "cache"]) is None
+
+
+def test_prose():
+    assert prose.tighten("In conclusion, we leverage the robust pipeline.")[0] == "We use the pipeline."
+    assert prose.tighten("Keep `in order to` and https://x.y/very as is.")[0] == "Keep `in order to` and https://x.y/very as is."
+    assert prose.shorten("Please note that you can use this to read the file at ./the/path") == "use to read file at ./the/path"
+    assert prose.delta("a\nb", "a\nb")["adds"] == 0 and prose.delta("a\nb", "a\nc")["dels"] == 1
+    assert "too long" in prose.delta("x\n" * 2001, "y")["body"]
+    assert abs(float((prose.embed("read cache delta") ** 2).sum()) - 1) < 1e-5
+    assert [c["content"] for c in prose.cut_paragraphs("# Title of it all\nbody\n\nshort\n\nanother paragraph here")] == ["# Title of it all\nbody", "another paragraph here"]
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
