@@ -40,7 +40,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)
+    # a budget that the dynamic programme can fit as a whole needs no even share first
+    taken = np.array([0 if budget <= BUDGET else int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
