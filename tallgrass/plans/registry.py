@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
-from tallgrass.operators import changes, events, graph, memory, prose, search
+from tallgrass.operators import changes, events, extract, filters, graph, lint, memory, prose, search
 from tallgrass.plans import bindings as B
+from tallgrass.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,80 @@ register("banner_scan", lambda s, d: B.docs(s, d).select("id", F.posexplode(F.sp
 for _name, _fn in (("hash_embed", prose.hash_embed), ("humanise", prose.humanise), ("shrink_prose", prose.shrink), ("structural_digest", prose.structural_digest), ("chunk_paragraphs", prose.chunk)):
     register(_name, lambda s, d, f=_fn: f(B.docs(s, d)))
 register("line_delta", lambda s, d: prose.line_delta(B.docs(s, d).withColumn("old", F.col("text")).withColumn("new", F.regexp_replace("text", "(?m)^The ", "A "))))
+# command filters and permissions
+COMMANDS = ["git status", "git log --oneline -5", "git log", "git branch -a", "git diff --stat", "cargo build", "cargo test --all", "cargo clippy", "npm install", "yarn run dev", "npx jest", "openclaw status", "openclaw logs", "openclaw mcp list", "openclaw mcp show x", "ls -la", "cat file.txt"]
+
+
+def _outputs(s, d):
+    command = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("doc_id") % len(COMMANDS) + 1).cast("int"))
+    return B.table(s, d, "documents").select(F.col("doc_id").alias("id"), command.alias("command"), "text")
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _filter_sql(f: filters.Filter) -> str:
+    """The stages of one filter in DuckDB, as (text, kind)."""
+    line = "x"
+    for pattern, new in f.replace:
+        line = f"regexp_replace({line}, {_quoted(pattern)}, {_quoted(new.replace('$1', chr(92) + '1'))}, 'g')"
+    keep = f"NOT regexp_matches(x, {_quoted('|'.join(f'(?:{p})' for p in f.strip))})" if f.strip else "true"
+    wide = f"CASE WHEN length(x) > {f.width} THEN concat(x[1:{f.width - 1}], '…') ELSE x END" if f.width else "x"
+    ends = f"CASE WHEN len(l) <= {f.head + f.tail} THEN l ELSE list_concat(list_concat(l[1:{f.head}], ['…']), l[len(l) - {f.tail} + 1:len(l)]) END" if f.head or f.tail else "l"
+    most = f"CASE WHEN len(l) <= {f.most} THEN l ELSE list_concat(l[1:{f.most}], [concat('… [+', len(l) - {f.most}, ' lines truncated]')]) END" if f.most else "l"
+    whole = "".join(f"WHEN regexp_matches(whole, {_quoted(p if p.startswith('(?') else '(?m)' + p)}) THEN {{}} " for p, _ in f.match)
+    pick = lambda i, rest: f"CASE {whole.format(*[_quoted((m, 'matched')[i]) for _, m in f.match])}{rest} END"
+    bare = r"regexp_replace(regexp_replace(array_to_string(l, chr(10)), '^(?:[ \t]*\n)+', ''), '(?:\n[ \t]*)+$', '')"
+    blank = f"WHEN trim(t) = '' THEN {{}} ELSE {{}}"
+    text = pick(0, blank.format(_quoted(f.on_empty or ""), "t"))
+    kind = pick(1, blank.format(_quoted("on_empty" if f.on_empty is not None else "filtered"), "'filtered'"))
+    raw = "string_split(text, chr(10))"
+    lines = f"list_transform(CASE WHEN {raw}[-1] = '' THEN {raw}[1:len({raw}) - 1] ELSE {raw} END, lambda x: {line})"
+    return f"SELECT id, command, {text} AS filtered, {kind} AS kind FROM (SELECT *, {bare} AS t FROM (SELECT id, command, whole, {most} AS l FROM (SELECT id, command, whole, {ends} AS l FROM (SELECT id, command, array_to_string(l, chr(10)) AS whole, list_transform(list_filter(l, lambda x: {keep}), lambda x: {wide}) AS l FROM (SELECT id, command, {lines} AS l FROM named WHERE filter = {_quoted(f.name)})))))"
+
+
+OUTPUTS = f"SELECT doc_id AS id, {COMMANDS}[doc_id % {len(COMMANDS)} + 1] AS command, text FROM documents"
+WHICH = "CASE " + " ".join(f"WHEN regexp_matches(command, {_quoted(f.command)}) THEN {_quoted(f.name)}" for f in filters.BUILTIN) + " END"
+register("filter_dispatch", lambda s, d: _outputs(s, d).select("id", "command", filters.which(F.col("command")).alias("filter")), f"SELECT id, command, {WHICH} AS filter FROM ({OUTPUTS})")
+FILTERED = f"WITH named AS (SELECT id, command, text, {WHICH} AS filter FROM ({OUTPUTS}) WHERE octet_length(encode(text)) <= {filters.MAX_BYTES}), done AS (" + " UNION ALL ".join(map(_filter_sql, filters.BUILTIN)) + ") "
+register("filter_apply", lambda s, d: filters.run(_outputs(s, d)).select("id", "command", F.sha2(F.col("filtered").cast("binary"), 256).alias("digest"), "kind"), FILTERED + "SELECT id, command, sha256(filtered) AS digest, kind FROM done")
+register("filter_savings", lambda s, d: filters.run(_outputs(s, d)).groupBy("filter").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("tokens_before") - F.col("tokens_after")).alias("savings")), FILTERED + "SELECT filter, count(*) AS runs, CAST(sum(ceil(length(text) / 4) - ceil(length(filtered) / 4)) AS BIGINT) AS savings FROM named JOIN done USING (id) GROUP BY filter")
+ALLOW, DENY = ["Bash(the very:*)", "Node"], ["Bash(and)", "py", "*(of the)"]
+register("permission_check", lambda s, d: B.table(s, d, "documents").withColumn("runtime", F.element_at(F.split(F.lit("bash python node"), " "), (F.col("doc_id") % 3 + 1).cast("int"))).select("doc_id", "runtime", filters.permission(F.col("runtime"), F.col("text"), ALLOW, DENY).alias("p")).select("doc_id", "runtime", "p.decision", "p.rule"),
+         """SELECT doc_id, runtime, CASE WHEN rule IS NULL THEN 'allow' ELSE 'deny' END AS decision, rule FROM (SELECT *, CASE WHEN (runtime = 'bash' AND contains(text, 'the very')) OR runtime = 'node' THEN NULL WHEN runtime = 'bash' AND contains(text, 'and') THEN 'Bash(and)' WHEN runtime = 'python' THEN 'py' WHEN contains(text, 'of the') THEN '*(of the)' END AS rule
+FROM (SELECT *, ['bash', 'python', 'node'][doc_id % 3 + 1] AS runtime FROM documents))""")
+# hygiene and source extraction
+_sources = lambda s, d: B.table(s, d, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), "text")
+MD = "SELECT concat(source, '/', doc_id, '.md') AS path, unnest(string_split(text, chr(10))) AS raw FROM documents"
+register("line_kinds", lambda s, d: lint.classify(_sources(s, d)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")), f"SELECT path, CASE WHEN trim(raw) = '' THEN 'blank' ELSE 'prose' END AS kind, count(*) AS n FROM ({MD}) GROUP BY ALL")
+
+
+def _comments(s, d):
+    """Documents as configuration files: first words that begin with an upper-case letter of A-F become banners, of G-M praise."""
+    text = F.regexp_replace(F.regexp_replace("text", "(?m)^[A-F].*$", "# =========="), "(?m)^[G-M].*$", "# a world-class thing")
+    return B.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".toml")).alias("path"), text.alias("text"))
+
+
+COMMENTED = "SELECT concat(doc_id, '.toml') AS path, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents"
+BROKEN = f"SELECT path, line, CASE WHEN regexp_matches(raw, '^[A-F]') THEN 'decorative_banner' ELSE 'marketing_phrase' END AS rule_id FROM ({COMMENTED}) WHERE regexp_matches(raw, '^[A-M]')"
+register("lint_violations", lambda s, d: lint.violations(lint.classify(_comments(s, d))).select("path", "line", "rule_id", "severity"), f"SELECT *, CASE rule_id WHEN 'decorative_banner' THEN 'error' ELSE 'warn' END AS severity FROM ({BROKEN})")
+register("lint_report", lambda s, d: (lambda found: lint.report(found, lint.violations(found)))(lint.classify(_comments(s, d))), f"SELECT (SELECT count(*) FROM documents) AS files_scanned, count(DISTINCT path) AS files_with_violations, count(*) AS violations, count(*) FILTER (rule_id = 'decorative_banner') AS errors FROM ({BROKEN})")
+register("lint_fix", lambda s, d: lint.rewrite(_comments(s, d)).select("path", "lines_removed"), f"SELECT path, count(*) AS lines_removed FROM ({BROKEN}) WHERE rule_id = 'decorative_banner' GROUP BY path")
+
+
+def _code(s, d):
+    """One Python file per customer that imports and calls its nation's function."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    text = F.concat(F.lit("from nation import n"), n, F.lit("\n\ndef c"), k, F.lit("():\n    n"), n, F.lit("()\n    c"), k, F.lit("()\n    other(1)\n"))
+    return B.table(s, d, "customer").select(F.concat(F.lit("app/"), k, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), text.alias("text"))
+
+
+FILE = "concat('app/', c_custkey, '.py') AS file"
+OWN = "concat('app::', c_custkey, '::c', c_custkey)"
+register("extract_symbols", lambda s, d: extract.nodes_of(extract.extract(_code(s, d))).select("kind", "name", "qn", "file", "line", "line_end"), f"SELECT 'File' AS kind, concat(c_custkey, '.py') AS name, concat('app::', c_custkey, ':file') AS qn, {FILE}, 1::BIGINT AS line, 7::BIGINT AS line_end FROM customer UNION ALL SELECT 'Function', concat('c', c_custkey), {OWN}, {FILE}, 3, 6 FROM customer")
+register("resolve_calls", lambda s, d: (lambda found: extract.resolve_calls(extract.nodes_of(found), extract.edges_of(found)))(extract.extract(_code(s, d))), f"""SELECT 'ImportsFrom' AS kind, concat('app::', c_custkey, ':file') AS source, concat('from nation import n', c_nationkey) AS target, {FILE}, 1::BIGINT AS line, 0.7::DOUBLE AS confidence, 'inferred' AS tier FROM customer
+UNION ALL SELECT 'Calls', {OWN}, concat('nation::n', c_nationkey), {FILE}, 4, 0.8, 'resolved' FROM customer UNION ALL SELECT 'Calls', {OWN}, {OWN}, {FILE}, 5, 0.8, 'resolved' FROM customer UNION ALL SELECT 'Calls', {OWN}, 'other', {FILE}, 6, 0.6, 'inferred' FROM customer""")
+register("observations_markdown", lambda s, d: sinks.markdown(B.observations(s, d).withColumn("title", F.substring("content", 1, 40)), B.KINDS, 10**6), f"SELECT kind, CAST(list_position({list(B.KINDS)}, kind) AS BIGINT) AS place, count(*) AS n, concat('## ', kind, chr(10), chr(10), string_agg(concat('- [', importance, '] ', regexp_replace(content[1:40], '\\s+', ' ', 'g')), chr(10) ORDER BY importance DESC, id DESC)) AS body FROM observations WHERE NOT archived GROUP BY kind", "observations")
+_events = lambda s, d: B.table(s, d, "conversations").select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.col("role").alias("tool"), F.col("turn").alias("original_tokens"))).alias("value"))
+register("json_events", lambda s, d: files.json_events(_events(s, d)), "SELECT CAST(conv_id AS VARCHAR) AS session_id, role AS tool_name, CAST(NULL AS VARCHAR) AS target, 'ok' AS status, turn AS original_tokens, 0::BIGINT AS compressed_tokens, '' AS summary, false AS malformed FROM conversations")
