@@ -94,6 +94,7 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
         if met.isEmpty():
             break
         pairs = met.where(F.least("n", "a_n") >= F.greatest("n", "a_n") * similarity).select("a", F.col("doc_id").alias("b")).distinct()
+        pairs = staged(pairs, "pairs")  # a known size: few pairs are sent to the sets instead of dealing all sets out again
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("of_a")), "a")
         common = F.size(F.array_intersect("of_a", "of_b"))
         near = staged(both.where(common >= (F.size("of_a") + F.size("of_b") - common) * similarity).select("a", "b"), "near")
