@@ -1,21 +1,25 @@
 """The wide step of the near-duplicate stage: texts whose sets of five-word shingles reach a Jaccard similarity of 0.8.
 
 A radius of 2 of 64 bits, which the fingerprint join serves, holds only copies with a similarity near 1; at 0.8 some 10
-bits differ, and the popcount grid has no selective cells there. After the fingerprint join has left one text of each
-group, this step finds partners by minimum hashes: ``BANDS`` keys of ``ROWS`` minima each (two texts at 0.8 share a key
-with a probability of 0.9999), and the exact similarity of the shingle sets decides.
+bits differ, and the popcount grid has no selective cells there. This step finds partners by prefix filtering: with the
+shingles of each set in one common order, two sets at 0.8 share one of their first ``n - ceil(0.8 n) + 1``, so these are
+the keys and no link is missed. The order puts the shingles last that are frequent in a sample of the texts; the sample
+decides how many keys are crowded, never which links are found. The exact similarity of the sets decides.
 
-In a key all members are compared with one leader, the least id; those that do not reach the threshold go on among
-themselves, until no key has two members left. So no group is ever held in one task and no pair list is made; what is
-dealt by a hot leader is single pairs, which a skewed join splits. Two texts that meet only in keys where one of them
-follows a leader that the other does not reach are not compared; their groups may stay apart.
+Equal sets collapse first. In a key all members are compared with leaders (one in the first round, up to twice as many
+in each later one); leaders and their followers leave the key, until no key has two members left. Two members that never
+met are one of these: both followed one leader (one group already), or B followed A and A rejected C. The Jaccard
+distance is a metric, so B and C can only be linked if C is no farther from A than B is, plus the threshold; all such
+pairs whose groups are still apart are compared at the end. No group is held in one task.
 
 Defined cases: words and case as in the fingerprints; texts with fewer words than a shingle have one shingle, the whole
-sequence; texts without words have no partner here; rows of null id are left out; ids must be unique.
+sequence; texts without words have no partner here; rows of null id are left out; an id that is repeated with several
+texts is one node with the links of all of them. Sets with the same size and the same two hashes (96 bits) are equal.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import gram_hashes, mix, run_hashes, signed, slices, span_hashes, staged, word_bounds
+from tallgrass.llm.common import gram_hashes, mix, run_hashes, slices, span_hashes, staged, word_bounds
 from tallgrass.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 5
-#: Shingles are hashed by so many rows at a time.
-BLOCK = 4096
+#: The order of shingles is learned from about so many texts, and names at most so many shingles as frequent.
+SAMPLE, FREQUENT = 4096, 1 << 18
+#: Against rounding: similarities are fractions of integers, which differ by far more.
+SLACK = 1e-9
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(0x51D1)
-_TIMES = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, np.uint64)
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The set of shingle hashes (uint32, sorted) of each text in a buffer."""
@@ -53,57 +54,106 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     return out
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The ``BANDS`` keys of one set; none for an empty set."""
+def prefix(found: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of one set: its first shingles in the order of ``counts`` (of the sorted ``known``; 0 for others) and hash."""
     if not len(found):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), BLOCK):
-        block = found[at : at + BLOCK, None].astype(np.uint64) * _TIMES + _PLUS
-        np.minimum(least, block.min(0), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = mix(key ^ column)
-    return key
+        return found
+    seen = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        seen = np.where(known[at] == found, counts[at], 0)
+    order = np.lexsort((found, mix(found.astype(np.uint64)), seen))
+    return found[order[: len(found) - math.ceil(similarity * len(found) - SLACK) + 1]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint32)).view(np.int32)))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch):
-            sets = shingle_sets(data, offsets, shingle)
-            keys = [band_keys(s) for s in sets]
-            bounds = lambda parts: pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
-            flat = lambda parts, empty: np.concatenate(parts) if parts else empty
-            bands = pa.ListArray.from_arrays(bounds(keys), pa.array(signed(flat(keys, np.zeros(0, np.uint64)))))
-            grams = pa.ListArray.from_arrays(bounds(sets), pa.array(flat(sets, np.zeros(0, np.uint32)).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), bands, grams], names=["doc_id", "bands", "grams"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(shingle_sets(data, offsets, shingle))], names=["doc_id", "grams"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], similarity: float, known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.asarray(x, np.int32).view(np.uint32) for x in batch.column(1).to_numpy(zero_copy_only=False)]
+        keys = [prefix(s, similarity, known, counts) for s in sets]
+        n = pa.array(np.array([len(s) for s in sets], np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, _lists(keys)], names=["doc_id", "n", "keys"])
+
+
+def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles of a sample (sorted) and their counts there."""
+    step = max(1, sets.count() // SAMPLE)
+    some = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.explode("grams").alias("gram"))
+    top = some.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "gram").limit(FREQUENT).toPandas()
+    known, counts = top["gram"].to_numpy(np.int32).view(np.uint32), top["c"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _distances(pairs: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
+    """``(a, b, d)``: the pairs of ``pairs(a, b)`` with a Jaccard distance ``d`` of at most ``reach``."""
+    pairs = staged(pairs, "pairs")  # a known size: few pairs are sent to the sets instead of dealing all sets out again
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("of_a")), "a")
+    measured = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return staged(measured.select("a", "b", (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("d")).where(F.col("d") <= reach + SLACK), "near")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def similar_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)`` with ``a < b``: links between ids of ``docs`` (doc_id, text), each of at least ``similarity``."""
+    """``(a, b)`` with ``a < b``: links between ids of ``docs`` (doc_id, text), each of at least ``similarity``, that
+    connect all ids between which there are such links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, bands array<long>, grams array<int>"), "sketches")
-    members = sketches.select("doc_id", F.size("grams").alias("n"), F.explode("bands").alias("band"))
+    sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, grams array<int>").where(F.size("grams") > 0), "sketches")
+    same = ["n", "h", "g"]
+    named = sketches.withColumn("n", F.size("grams")).withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
+    firsts = staged(named.groupBy(*same).agg(F.min("doc_id").alias("a")), "firsts")
+    copies = staged(named.select("doc_id", *same).join(firsts, same).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copies")
+    own = firsts.select(F.col("a").alias("doc_id"), *same)
+    sets = named.join(own, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "grams")
+    sets = staged(sets, "sets")
+    known, counts = _order(sets)
+    members = sets.mapInArrow(lambda it: _keys(it, similarity, known, counts), "doc_id long, n int, keys array<int>").select("doc_id", "n", F.explode("keys").alias("band"))
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    left = staged(members.join(crowded, "band"), "members")
-    sets = staged(sketches.select("doc_id", "grams").join(left.select("doc_id").distinct(), "doc_id", "left_semi"), "sets")
-    links = []
+    left = staged(members.join(crowded, "band").select("band", "doc_id", "n"), "members")
+    far = 1 - similarity
+    measured, leaders = [], 1
     while True:
-        heads = left.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        met = staged(left.join(heads, "band").where("doc_id <> head.doc_id").select("band", "doc_id", "n", F.col("head.doc_id").alias("a"), F.col("head.n").alias("a_n")), "met")
+        # the least id of each slot of a key leads; keys with one member are done
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))
+        heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n")).alias("head")).select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("a_n"))
+        met = staged(left.join(heads, "band").where("doc_id <> a"), "met")
         if met.isEmpty():
             break
-        pairs = met.where(F.least("n", "a_n") >= F.greatest("n", "a_n") * similarity).select("a", F.col("doc_id").alias("b")).distinct()
-        pairs = staged(pairs, "pairs")  # a known size: few pairs are sent to the sets instead of dealing all sets out again
-        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("of_a")), "a")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        near = staged(both.where(common >= (F.size("of_a") + F.size("of_b") - common) * similarity).select("a", "b"), "near")
-        links.append(near)
-        left = met.join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left_anti").select("band", "doc_id", "n")
-    found = links[0] if links else docs.sparkSession.createDataFrame([], "a long, b long")
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return found.distinct()
+        fits = F.least("n", "a_n") >= F.greatest("n", "a_n") * (1 - 2 * far) - SLACK
+        found = _distances(met.where(fits).select("a", F.col("doc_id").alias("b")).distinct(), sets, 2 * far)
+        measured.append(found)
+        follow = met.join(found.where(F.col("d") <= far + SLACK).select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_semi").select("band", "doc_id")
+        gone = follow.unionByName(heads.select("band", F.col("a").alias("doc_id"))).distinct()
+        left = staged(left.join(gone, ["band", "doc_id"], "left_anti"), "members")
+        leaders *= 2
+    if not measured:
+        return copies.distinct()
+    found = staged(_union(measured).distinct(), "measured")
+    near = found.where(F.col("d") <= far + SLACK)
+    # what a leader rejected, against its followers, where the distances to the leader leave a link possible
+    parts = components(near.select("a", "b"))
+    group = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    missed = found.where(F.col("d") > far + SLACK).join(group("a"), "a").join(group("b"), "b", "left").where("NOT of_a <=> of_b")
+    missed = staged(missed.select("a", F.col("b").alias("c"), F.col("d").alias("d_c")), "missed")
+    late = missed.join(near, "a").where(F.col("d_c") <= F.col("d") + far + 2 * SLACK).select(F.col("c").alias("a"), "b").where("a <> b").distinct()
+    links = _union([near, _distances(late, sets, far)]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links.unionByName(copies).distinct()
 
 
 def repeated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -59,3 +59,20 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "None"]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_links_past_a_shared_leader(spark):
+    r = random.Random(7)
+    hub = [f"w{i}" for i in range(204)]
+
+    def changed(at):
+        return " ".join(hub[:at] + [f"x{r.randrange(10**9)}" for _ in range(16)] + hub[at + 16 :])
+
+    # all reach the hub (0.818); the last reaches nothing else, and earlier ids lead in every key it shares with the hub
+    texts = [*[changed(10 + 3 * (i % 50)) for i in range(60)], " ".join(hub), " ".join(hub[:-20] + [f"y{i}" for i in range(20)])]
+    docs = list(enumerate(texts))
+    sets = {i: grams(t) for i, t in docs}
+    true = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert [p for p in true if 61 in p] == [(60, 61)]
+    got = [(x.a, x.b) for x in similar.similar_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert set(got) <= set(true) and groups(got, sets) == groups(true, sets)
