@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm.common import partitions, slices, staged, word_bounds
 from tallgrass.llm.components import components
-from tallgrass.llm.similar import repeated
+from tallgrass.llm.similar import similar_links
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SEGMENTS = 16
@@ -162,8 +162,8 @@ def hex_digits(fp) -> F.Column:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row per group of near duplicates: the row of its least id (rows without id stay). Groups are the
-    components of the fingerprint join and then, among the texts it leaves, those of ``similar`` (five words, 0.8)."""
-    found = near_duplicates(docs, shingle)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = staged(docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]), "kept")
-    return kept.join(repeated(kept), "doc_id", "left_anti").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    components over the links of the fingerprint join and those of ``similar`` (five words, 0.8), both on all rows."""
+    narrow = near_duplicates(docs, shingle).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    parts = components(staged(narrow.unionByName(similar_links(docs)), "edges"))
+    gone = parts.where("node <> component").select(F.col("node").alias("doc_id"))
+    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

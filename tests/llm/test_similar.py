@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tallgrass.llm import similar, simhash
 
 
@@ -76,3 +78,25 @@ def test_links_past_a_shared_leader(spark):
     assert [p for p in true if 61 in p] == [(60, 61)]
     got = [(x.a, x.b) for x in similar.similar_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert set(got) <= set(true) and groups(got, sets) == groups(true, sets)
+
+
+def test_stage_follows_the_links_of_dropped_copies(spark):
+    def prints(*texts):
+        raw = [t.encode() for t in texts]
+        return simhash.fingerprints_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    def share(a, b):
+        return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+    r = random.Random(5)
+    while True:  # 1 and 2 differ in a word (fingerprints within 2 bits); 3 just reaches 0.8 with 2, but not with 1
+        words = [f"w{r.randrange(10**6)}" for _ in range(454)]
+        one, three = list(words), words[:-50] + [f"y{r.randrange(10**6)}" for _ in range(50)]
+        one[100] = "other"
+        texts = [" ".join(one), " ".join(words), " ".join(three)]
+        x, y, z = prints(*texts).tolist()
+        if (x ^ y).bit_count() <= 2 < min((x ^ z).bit_count(), (y ^ z).bit_count()):
+            break
+    assert share(texts[0], texts[2]) < 0.8 <= share(texts[1], texts[2])
+    df = spark.createDataFrame([*enumerate(texts, 1), (4, "quite another text of a few words")], "doc_id long, text string")
+    assert sorted(d.doc_id for d in simhash.keep_one(df).collect()) == [1, 4]
