@@ -5,9 +5,10 @@ a target stops at ``REPEATS`` times its source's size, and the excess is shared
 
 For each source, every document is taken ``floor(target / size)`` times. The rest of the budget is a subset-sum
 problem over document lengths: documents are counted by exact length; each length first gives the same fraction of its
-documents, then one more from long to short while it fits, and the last words (at most ``BUDGET``) are fitted by a
-bounded-knapsack dynamic programme over the lengths still left. Of each length the planned number of documents is
-chosen in the order of a seeded hash, so reruns agree.
+documents, then one more from long to short while it fits, and the last words (``BUDGET`` at first) are fitted by a
+bounded-knapsack dynamic programme over the lengths still left. While the budget is not met, documents are given back
+and the programme gets twice the words, up to the whole budget: the sum is always the best from below. Of each length
+the planned number of documents is chosen in the order of a seeded hash, so reruns agree.
 
 Scale: a source is planned from its length histogram, whose rows are distinct lengths, never documents. The seeded
 choice counts documents in ``SLOTS`` hash slots per length, takes whole slots and ranks only inside the one slot that
@@ -30,48 +31,76 @@ from tallgrass.llm.common import n_words, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
-#: Words that the dynamic programme may still fit, and the slots that a length's documents are dealt to.
+#: Words that the dynamic programme fits in its first attempt, and the slots that a length's documents are dealt to.
 BUDGET, SLOTS = 4096, 256
 SEED = 17
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` as possible from below."""
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """One attempt: all but about ``window`` words by even share and greedily, the rest by the dynamic programme. The sum
+    is the best that can be reached from below if it is the budget, or if the window holds the whole budget."""
     total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
     # a budget that the dynamic programme can fit as a whole needs no even share first
-    taken = np.array([0 if budget <= BUDGET else int(c) * budget // total for c in counts], np.int64)
+    share = 0 if budget <= window else budget if window <= BUDGET else budget - window
+    taken = np.array([int(c) * share // total for c in counts], np.int64)
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
-        if rest <= BUDGET:
+        if rest <= window:
             break
-        more = min(int(counts[i] - taken[i]), 1 if rest < 4 * BUDGET else rest // int(lengths[i]), rest // int(lengths[i]))
+        more = min(int(counts[i] - taken[i]), 1 if rest < 4 * window else rest // int(lengths[i]), rest // int(lengths[i]))
         taken[i] += more
         rest -= more * int(lengths[i])
     for i in order:  # whatever is still far off goes by the longest that fit
-        if rest <= BUDGET:
+        if rest <= window:
             break
-        more = min(int(counts[i] - taken[i]), max(0, rest - BUDGET // 2) // int(lengths[i]))
+        more = min(int(counts[i] - taken[i]), max(0, rest - window // 2) // int(lengths[i]))
         taken[i] += more
         rest -= more * int(lengths[i])
-    # bounded knapsack: bit b of a number says whether b words can be reached
-    rest = min(rest, BUDGET)
-    mask, reach, items = (1 << (rest + 1)) - 1, 1, []
+    # bounded knapsack: the item that reaches a sum first; what it was added to was reached before it
+    rest = min(rest, window)
+    by = np.full(rest + 1, -1, np.int32)
+    by[0], items = 0, [(0, 0)]
     for i in order[::-1]:
-        left, size, part = min(int(counts[i] - taken[i]), rest // max(1, int(lengths[i]))), int(lengths[i]), 1
-        while left > 0 and size <= rest and not reach >> rest & 1:
+        left, size, part = min(int(counts[i] - taken[i]), rest // int(lengths[i])), int(lengths[i]), 1
+        while left > 0 and by[rest] < 0:
             part = min(part, left)
-            items.append((i, part, reach))
-            reach |= reach << (size * part) & mask
+            step = size * part
+            if step <= rest:
+                by[step:][(by[:-step] >= 0) & (by[step:] < 0)] = len(items)
+                items.append((i, part))
             left -= part
             part *= 2
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(items):
-        if not before >> at & 1:
-            at -= int(lengths[i]) * part
-            taken[i] += part
+    at = int(np.flatnonzero(by >= 0)[-1])
+    while at:
+        i, part = items[by[at]]
+        taken[i] += part
+        at -= int(lengths[i]) * part
+    return taken
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that their words come as near to ``budget`` as possible from below.
+
+    Where an attempt misses the budget, the next one leaves the dynamic programme twice the words, up to all of them."""
+    if budget >= int((lengths * counts).sum()):
+        return counts.copy()
+    taken, fits = np.zeros(len(counts), np.int64), (lengths <= budget) & (counts > 0)
+    if not fits.any():
+        return taken
+    # sums are multiples of the lengths' common divisor
+    unit = int(np.gcd.reduce(lengths[fits]))
+    sizes, some, aim, window = lengths[fits] // unit, counts[fits], budget // unit, BUDGET
+    if aim >= int((sizes * some).sum()):
+        taken[fits] = some
+        return taken
+    best = _fill(sizes, some, aim, window)
+    while int((sizes * best).sum()) < aim and window < aim:
+        window *= 2
+        found = _fill(sizes, some, aim, window)
+        if int((sizes * found).sum()) > int((sizes * best).sum()):
+            best = found
+    taken[fits] = best
     return taken
 
 

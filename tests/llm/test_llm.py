@@ -166,6 +166,25 @@ def test_subset_sum():
         assert (taken >= 0).all() and (taken <= counts).all() and (lengths * taken).sum() <= budget
 
 
+def test_subset_sum_of_long_documents():
+    def best(lengths, counts, budget):
+        reach = 1
+        for n in np.repeat(lengths, counts).tolist():
+            reach |= reach << n
+        return (reach & (1 << budget + 1) - 1).bit_length() - 1
+
+    for lengths, budget, want in (([60000, 50000, 49000], 99000, 99000), ([10000, 7000, 5000], 12000, 12000), ([100], 199, 100)):
+        lengths = np.array(sorted(lengths))
+        assert (lengths * mixing.fit(lengths, np.ones(len(lengths), np.int64), budget)).sum() == want
+    r = random.Random(2)
+    for _ in range(40):
+        lengths = np.array(sorted(r.sample(range(2000, 30000), r.randint(2, 8))))
+        counts = np.array([r.randint(1, 4) for _ in lengths])
+        budget = r.randint(mixing.BUDGET + 1, int((lengths * counts).sum()))
+        taken = mixing.fit(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all() and (lengths * taken).sum() == best(lengths, counts, budget)
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs, 6000).toPandas()
     sums = got.groupby("shard").agg(n=("doc_bytes", "sum"), told=("shard_bytes", "first"), over=("oversized", "first"), ids=("doc_id", "nunique"))
