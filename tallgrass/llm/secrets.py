@@ -80,49 +80,83 @@ def _grams(strings):
     return _or(*[_and(*[("tri", s[i : i + 3]) for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _walk(items, query, exact):
-    """Go through a parsed sequence. ``exact``: all strings that can end here since the last break. Returns both."""
+def _broken(part):
+    """A part whose matches are all known, as one of which only beginnings and ends are known."""
+    query, exact, begins, ends = part
+    return part if exact is None else (_and(query, _grams(exact)), None, exact, exact)
+
+
+def _join(one, two):
+    """Two parts in sequence."""
+    if one[1] is not None and two[1] is not None and len(one[1]) * len(two[1]) <= SET:
+        exact = {a + b for a in one[1] for b in two[1]}
+        return _and(one[0], two[0]), exact, exact, exact
+    begins, ends = one[2], two[3]
+    if one[1] is not None and len(one[1]) * len(two[2]) <= SET:
+        begins = {a + b for a in one[1] for b in two[2]}
+    if two[1] is not None and len(one[3]) * len(two[1]) <= SET:
+        ends = {a + b for a in one[3] for b in two[1]}
+    # only an end and a beginning that touch make strings across the seam
+    seam = _grams({a + b for a in one[3] for b in two[2]}) if len(one[3]) * len(two[2]) <= SET else True
+    return _and(_broken(one)[0], _broken(two)[0], seam), None, begins, ends
+
+
+def _exact(strings):
+    return True, strings, strings, strings
+
+
+ANYTHING = (True, None, {""}, {""})
+
+
+def _chars(codes, flags):
+    """One character of a few; no strings for what the folded bytes of a text may spell otherwise."""
+    some = {chr(c).translate(_FOLD) for c in codes}
+    loose = flags & re.IGNORECASE and not flags & re.ASCII
+    return _exact(some) if len(some) <= 8 and all(c.isascii() and not (loose and c in "iks") for c in some) else ANYTHING
+
+
+def _walk(items, flags):
+    """Go through a parsed sequence. Returns a query, the set of all matches (None if not bounded), and two sets: every
+    match begins with a string of the one and ends with a string of the other."""
+    out = _exact({""})
     for op, arg in items:
-        choices, inner = None, True
+        part = ANYTHING
         if op is C.LITERAL:
-            choices = {chr(arg).translate(_FOLD)}
+            part = _chars([arg], flags)
         elif op is C.IN and all(k in (C.LITERAL, C.RANGE) for k, _ in arg):
-            some = {chr(c).translate(_FOLD) for k, v in arg for c in ([v] if k is C.LITERAL else range(v[0], min(v[1], v[0] + SET) + 1))}
-            choices = some if len(some) <= 8 else None
+            part = _chars([c for k, v in arg for c in ([v] if k is C.LITERAL else range(v[0], min(v[1], v[0] + SET) + 1))], flags)
         elif op is C.SUBPATTERN:
-            inner, choices = _walk(arg[-1], True, {""})
+            part = _walk(arg[3], (flags | arg[1]) & ~arg[2])
         elif op is C.BRANCH:
-            sides = [_walk(side, True, {""}) for side in arg[1]]
-            # a side's strings cross into what follows; if a side has broken, what it requires is kept as a query
-            if all(q is True for q, _ in sides):
-                choices = set().union(*[e for _, e in sides])
+            sides = [_walk(side, flags) for side in arg[1]]
+            if all(side[1] is not None and side[0] is True for side in sides):
+                part = _exact(set().union(*[side[1] for side in sides]))
             else:
-                inner, choices = _or(*[_and(q, _grams(e)) for q, e in sides]), None
+                sides = [_broken(side) for side in sides]
+                part = _or(*[q for q, *_ in sides]), None, set().union(*[side[2] for side in sides]), set().union(*[side[3] for side in sides])
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
             low, high, body = arg
-            q, e = _walk(body, True, {""})
-            if low == 0 and high == 1 and q is True:
-                choices = e | {""}
+            inner = _walk(body, flags)
+            if low == 0 and high == 1 and inner[0] is True and inner[1] is not None:
+                part = _exact(inner[1] | {""})
+            elif low >= 1 and low == high and inner[1] is not None and len(inner[1]) ** min(low, SET) <= SET and low <= SET:
+                part = _exact({""})
+                for _ in range(low):
+                    part = _join(part, inner)
+            elif low == high == 1:
+                part = inner
             elif low >= 1:
-                inner = _and(q, _grams(e))
-                choices = {a for a in e} if low == high == 1 else None
-                if choices is None and q is True and len(e) == 1 and low == high:
-                    choices = {next(iter(e)) * low}
+                part = _broken(inner)
         elif op is C.AT:
-            choices = {""}
-        query = _and(query, inner)
-        if choices is not None and len(exact) * len(choices) <= SET:
-            exact = {a + b for a in exact for b in choices}
-        else:
-            query = _and(query, _grams(exact), True if choices is None else _grams(choices))
-            exact = {""}
-    return query, exact
+            part = _exact({""})
+        out = _join(out, part)
+    return out
 
 
 def trigram_query(pattern: str):
     """The Boolean trigram query of a regex (over lowercased text); True if it has no mandatory trigram."""
-    query, exact = _walk(P.parse(pattern), True, {""})
-    return _and(query, _grams(exact))
+    parsed = P.parse(pattern)
+    return _broken(_walk(parsed, parsed.state.flags))[0]
 
 
 def trigrams(query) -> set[str]:

@@ -101,6 +101,16 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secrets_of_any_rules_match_a_full_scan(spark):
+    patterns = ["AB(.C)", "foo(?:bar|.baz)", "ab(?:[^q]cd)?ef", "xy(?:(?:.k)z|uvw)", "key(?:[0-9]+end){2}", "caf(\u00e9.)s", "(?i:task)s", "(?:ab.|cd.){2}gh", "AKIA[A-Z0-9]+"]
+    texts = ["ABxC", "fooxbaz foobar", "abef abxcdef", "xy?kz xyuvw", "key1end22end", "caf\u00e9xs", "TAS\u212as \u017ftasks", "ab1cd2gh", "AKIA12", "", "foo bar baz", "key1end"]
+    rules = tuple(secrets.Rule(f"r{i}", p) for i, p in enumerate(patterns))
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
+    want = {i: sorted((m.start(), k.kind, m.end()) for k in rules for m in re.finditer(k.pattern, t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in got} == want and all(any(kind == k.kind for w in want.values() for _, kind, _ in w) for k in rules)
+    assert secrets.trigrams(secrets.trigram_query("foo(?:bar|.baz)")) >= {"foo", "baz"}
+
+
 def test_decontamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog and then walks home again in the rain"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny")], "item_id long, text string")
