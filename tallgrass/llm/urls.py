@@ -2,8 +2,10 @@
 
 Per host, path segments form a tree. Segments of variable shape (numbers, hex runs, other segments with digits, very
 long ones) become typed wildcards at once; a literal segment with many siblings and a small share of its parent's
-pages becomes ``*``. The labelled pages of each template, host and of all hosts are counted; a branch whose share of
-bad pages does not differ from its parent's (a z test on proportions) merges into the parent and takes its statistics.
+pages becomes ``*``. The labelled pages of each template, host and of all hosts are counted; a template whose
+share of bad pages does not differ from its host's (a z test on proportions) takes the host's statistics, and a host
+likewise those of all pages. Left out: path prefixes between host and template are not counted or merged, and siblings
+are found under the typed prefix, not under one whose wildcards are already set.
 A template is rejected where its purity (share of good pages, smoothed towards the parent's) is below a limit.
 
 Explicit rules ``(verdict, host, path)`` come first: a rule fits its host and all subdomains if the path starts with
