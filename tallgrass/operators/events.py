@@ -47,12 +47,19 @@ def auto_compact(turns: DataFrame, every: int = 50) -> DataFrame:
     return compact(numbered.where((F.col("window_no") + 1) * every <= F.col("__n")), "window_no")
 
 
-def digest_buckets(turns: DataFrame, top: int = 5) -> DataFrame:
-    """AGG-5: per session and bucket the most used targets (shell commands by first word), with errors."""
-    bucket = F.when(F.col("tool").isin("Read", "NotebookRead"), "read").when(F.col("tool").isin("Edit", "Write", "MultiEdit", "NotebookEdit", "Update"), "edit").when(F.col("tool") == "Bash", "bash").when(F.col("tool").isin("Grep", "Glob"), "search").otherwise("other")
-    counts = turns.withColumn("bucket", bucket).groupBy("session_id", "bucket", F.col("target").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "err").alias("errors"))
-    rank = F.row_number().over(Window.partitionBy("session_id", "bucket").orderBy(F.desc("n"), F.asc_nulls_last("item")))
-    return counts.withColumn("place", rank).where(F.col("place") <= top)
+def digest_buckets(turns: DataFrame, few: int = 5) -> DataFrame:
+    """AGG-5: per session and bucket all targets (shell commands by first word) with uses and errors, most used first.
+    The execute, memory and other buckets list their first ``few`` turns; ``more`` is the number of turns not listed."""
+    tools = {"read": ("Read", "NotebookRead", "mcp__crux__crux_read", "mcp__crux__crux_get_symbol_source"), "edit": ("Edit", "Write", "MultiEdit", "NotebookEdit", "Update"), "bash": ("Bash",), "search": ("Grep", "Glob", "mcp__crux__crux_search", "mcp__crux__crux_find_symbol", "mcp__crux__crux_query_graph", "mcp__crux__crux_impact"), "execute": ("mcp__crux__crux_execute",), "memory": ("mcp__crux__crux_remember", "mcp__crux__crux_recall")}
+    bucket = F.coalesce(*[F.when(F.col("tool").isin(*names), name) for name, names in tools.items()], F.lit("other"))
+    first = F.regexp_extract("target", r"^\s*(\S+)", 1)
+    placed = turns.withColumn("bucket", bucket).withColumn("item", F.when((F.col("bucket") == "bash") & (first != ""), first).otherwise(F.col("target")))
+    wrong, single = F.col("status").isin("err", "timeout"), F.col("bucket").isin("execute", "memory", "other")
+    counts = placed.where(~single).groupBy("session_id", "bucket", "item").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"))
+    group = Window.partitionBy("session_id", "bucket")
+    whole = counts.withColumn("place", F.row_number().over(group.orderBy(F.desc("n"), F.asc_nulls_last("item")))).withColumn("more", F.lit(0).cast("long"))
+    each = placed.where(single).select("session_id", "bucket", "item", F.lit(1).cast("long").alias("n"), F.coalesce(wrong, F.lit(False)).cast("long").alias("errors"), F.row_number().over(group.orderBy("turn", "item")).alias("place"), F.greatest(F.count(F.lit(1)).over(group) - few, F.lit(0)).alias("more"))
+    return whole.unionByName(each.where(F.col("place") <= few))
 
 
 def latest_turn(turns: DataFrame) -> DataFrame:

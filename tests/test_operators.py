@@ -101,3 +101,13 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_digest_lists_all_targets(spark):
+    turns = [(1, i, tool, f"{tool} {i % 8}", "timeout" if i == 8 else "ok") for tool in ("Read", "Write", "Grep", "WebFetch") for i in range(9)]
+    turns += [(1, i, "Bash", f"cmd{i % 7} -x {i}", "err" if i == 7 else "ok") for i in range(8)] + [(1, i, "mcp__crux__crux_recall", f"m{i}", "ok") for i in range(3)] + [(1, 1, "mcp__crux__crux_execute", None, "ok")]
+    got = events.digest_buckets(spark.createDataFrame(turns, "session_id long, turn long, tool string, target string, status string")).toPandas()
+    assert got.groupby("bucket").size().to_dict() == {"read": 8, "edit": 8, "search": 8, "bash": 7, "other": 5, "memory": 3, "execute": 1}
+    assert got[got.place == 1].set_index("bucket").loc["bash", ["item", "n", "errors"]].tolist() == ["cmd0", 2, 1]
+    assert got[(got.bucket == "read") & (got.place == 1)][["item", "n", "errors"]].values.tolist() == [["Read 0", 2, 1]]
+    assert got.groupby("bucket").more.max().to_dict() == {"read": 0, "edit": 0, "search": 0, "bash": 0, "other": 4, "memory": 0, "execute": 0}
