@@ -208,13 +208,10 @@ class FMIndex:
             token = flat[begin[who] + at]
             a, b = self.step(lo, hi, token)
             hit = a < b
-            # without a match the search starts anew at this token (matches shorter than cap are of no use to callers)
-            again = ~hit & (length > 0)
-            if again.any():
-                a[again] = self.first[token[again]]
-                b[again] = self.first[token[again] + 1]
-            length = np.where(hit, length + 1, np.where(a < b, 1, 0))
-            lo, hi = np.where(a < b, a, 0), np.where(a < b, b, self.n)
+            # without a match the pattern loses its last token and is searched again from the one before it
+            at = np.where(~hit & (length > 0), at + length, at)
+            length = np.where(hit, length + 1, 0)
+            lo, hi = np.where(hit, a, 0), np.where(hit, b, self.n)
             full = length == self.cap
             if full.any():
                 yield who[full], at[full], lo[full], hi[full]

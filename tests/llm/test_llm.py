@@ -53,6 +53,16 @@ def test_fm_index():
         assert seen == {(s, i): want[tuple(q[i : i + cap].tolist())] for s, q in enumerate(seqs) for i in range(len(q) - cap + 1)}
 
 
+def test_fm_index_streams_foreign_sequences():
+    r = random.Random(6)
+    for _ in range(60):
+        cap, sigma = r.choice([2, 3, 5]), r.choice([2, 3, 6])
+        seqs, others = ([np.array([r.randrange(sigma) for _ in range(r.randint(1, 40))]) for _ in range(r.randint(1, 8))] for _ in range(2))
+        index, want = suffixes.FMIndex(seqs, sigma, cap), collections.Counter(tuple(q[i : i + cap].tolist()) for q in seqs for i in range(len(q) - cap + 1))
+        seen = [(int(a), int(b), int(e - c)) for who, at, lo, hi in index.stream(others) for a, b, c, e in zip(who, at, lo, hi, strict=True)]
+        assert sorted(seen) == [(s, i, n) for s, q in enumerate(others) for i in range(len(q) - cap + 1) if (n := want[tuple(q[i : i + cap].tolist())])]
+
+
 def removed(docs, split, size, join, before):
     rows = [(float("inf") if i is None else i, i, split(t or "")) for i, t in docs]
     first, out = {}, []
