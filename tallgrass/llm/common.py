@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +24,73 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(WORD_SPACE)] = True
 
 
+#: Where ``spark.checkpoint.dir`` is unset and all of Spark runs on this machine (tests), tables are staged here.
+LOCAL_DIR = "/tmp/checkpoints"
+#: The paths staged in the innermost ``scratch`` block.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
+        found = LOCAL_DIR
+    return found.rstrip("/")
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The staged tables of a ``scratch`` block; ``out`` stages one that outlives it."""
+
+    def __init__(self, outer: list[str] | None):
+        self.outer = outer
+
+    def out(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        inner = _scope.get()
+        _scope.set(self.outer)
+        try:
+            return staged(df, label)
+        finally:
+            _scope.set(inner)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes at its end all tables that were staged in it; what is returned must come from ``out`` or read none of them."""
+    before, own = _scope.get(), []
+    _scope.set(own)
+    try:
+        yield Scratch(before)
+    finally:
+        _scope.set(before)
+        _delete(spark, own)
+
+
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go at their end: their result is staged, so nobody reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/tallgrass-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _scope.get() is not None:
+        _scope.get().append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -31,18 +99,37 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     Cuts lineage in a way that outlives executors: lost tasks reread files instead of recomputing (or losing) blocks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallgrass-{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    path = _path(spark, label)
+    with _freed_shuffles(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, column: str) -> Iterator[DataFrame]:
+    """``df`` staged in buckets of ``column``: joins on it move the other side only. The table goes at the end of the block."""
+    spark, name, n = df.sparkSession, f"tallgrass_{uuid.uuid4().hex}", partitions(df.sparkSession)
+    path = _path(spark, "buckets")
+    with _freed_shuffles(spark):
+        df.repartition(n, column).write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        _delete(spark, [path])
+
+
 def drop_stages(spark: SparkSession) -> None:
-    """Delete the staged tables of this folder; call it when no lazily read result is open any more."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, "tallgrass-*")) or []:
-        fs.delete(status.getPath(), True)
+    """Delete all staged tables of this application; call it when no lazily read result is open any more."""
+    _delete(spark, [f"{shared_dir(spark)}/tallgrass-{spark.sparkContext.applicationId}"])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (column names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,6 +176,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return ~_SPACE[data]
+
+
 _RANDOM = np.random.default_rng(0x7A11)
 _BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -125,9 +217,37 @@ def run_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
 
 
+#: Longer spans are hashed one by one.
+LONG_SPAN = 4096
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    return run_hashes(_BYTE_CODE[data], starts, ends)
+    """64-bit hashes of byte spans, the same for equal spans wherever they stand.
+
+    The sum of a span's 8-byte blocks, each mixed with its number: unlike a polynomial of bytes modulo 2**64 it has no
+    strings of any length that collide by their structure. Spans of over ``LONG_SPAN`` bytes take XXH3.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _BASE)
+    if not len(size):
+        return out
+    blocks = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    long = np.flatnonzero(size > LONG_SPAN)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    left = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, rest, number = starts[left], size[left], 1
+    total = out[left]
+    who = np.arange(len(left))
+    while len(who):
+        block = blocks[at]
+        short = rest < 8
+        block[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        total[who] += mix(block + np.uint64(number * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        more = rest > 8
+        who, at, rest, number = who[more], at[more] + 8, rest[more] - 8, number + 1
+    out[left] = mix(total)
+    return out
 
 
 def gram_hashes(codes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import staged
+from tallgrass.llm.common import scratch, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,14 +25,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for all nodes of ``edges(a, b)``; the component is its least node.
 
-    Each round is written to the shared folder, so lineage stays short and lost executors cost one round. The rounds
-    end when the links no longer change (compared by count and an order-free sum of hashes, two numbers a round).
+    Each round is written to the shared folder, so lineage stays short and lost executors cost one round. The rounds end when the links no longer change (compared by count and an order-free sum of
+    hashes, two numbers a round).
     """
-    links = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    seal = None
-    while True:
-        links = staged(_star(_star(links, True), False), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seal:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        seal = tuple(now)
+    spark = edges.sparkSession
+    with scratch(spark) as outer:
+        links = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+        seal = None
+        while True:
+            links = staged(_star(_star(links, True), False), "links")
+            now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(now) == seal:
+                return outer.out(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "components")
+            seal = tuple(now)

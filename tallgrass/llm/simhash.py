@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import partitions, slices, staged, word_bounds
+from tallgrass.llm.common import bucketed, fresh, in_words, scratch, slices, staged, word_bounds
 from tallgrass.llm.components import components
-from tallgrass.llm.similar import similar_links
+from tallgrass.llm.similar import Order, learned_order, node_links, set_columns, shingle_sets
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SEGMENTS = 16
 CELL = 64
+#: Shingles of one text that are hashed at once.
+PIECE = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -48,31 +50,26 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     starts, ends, firsts = word_bounds(data, offsets)
     if not len(starts):
         return out
-    lowered = _LOWER[data]
-    # words joined by single spaces: keep word bytes and one space after each word
-    keep = np.zeros(len(lowered) + 1, np.int32)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    inside = np.cumsum(keep[:-1]) > 0
-    lengths = ends - starts + 1
-    begin = np.concatenate([[0], np.cumsum(lengths)])
+    # words joined by single spaces: word bytes and one space after each word
+    begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
     joined = np.full(begin[-1], 32, np.uint8)
     slot = np.ones(begin[-1], bool)
     slot[begin[1:] - 1] = False
-    joined[slot] = lowered[inside]
+    joined[slot] = _LOWER[data[in_words(data)]]
     text = joined.tobytes()
     digest = xxhash.xxh64_intdigest
-    begin = begin.tolist()
     for t in range(n):
         lo, hi = int(firsts[t]), int(firsts[t + 1])
         if lo == hi:
             continue
         width = min(shingle, hi - lo)
-        hashes = np.array([digest(text[a:b], SEED) for a, b in zip(begin[lo : hi - width + 1], [x - 1 for x in begin[lo + width : hi + 1]], strict=True)], np.uint64)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65536):
-            ones += np.unpackbits(hashes[at : at + 65536].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out[t] = int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        ones, last = np.zeros(64, np.int64), hi - width + 1
+        for at in range(lo, last, PIECE):
+            stop = min(at + PIECE, last)
+            cuts = zip(begin[at:stop].tolist(), (begin[at + width : stop + width] - 1).tolist(), strict=True)
+            hashes = np.array([digest(text[a:b], SEED) for a, b in cuts], np.uint64)
+            ones += np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out[t] = int.from_bytes(np.packbits(ones * 2 > last - lo).tobytes(), "big")
     return out
 
 
@@ -128,31 +125,32 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame) -> DataFrame:
     """``(a, b)``: links that connect all distinct fingerprints ``fp`` within ``DISTANCE`` bits (a spanning set)."""
-    spark = prints.sparkSession
-    cells = prints.mapInArrow(_cells, "fp long, cell long")
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = staged(cells.join(shared, "cell"), "cells")
-    small = met.where(F.col("n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forest, "a long, b long")
-    # crowded cells: points of the Hamming ball of radius 1; the least fingerprint of a (cell, point) links to the others
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
-    balls = met.where(F.col("n") > CELL).select("cell", "fp", F.explode(flips).alias("point"))
-    heads = balls.groupBy("cell", "point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    large = balls.join(heads, ["cell", "point"]).select("a", F.col("fp").alias("b")).where("a <> b")
-    return small.unionByName(large).distinct().repartition(max(1, partitions(spark)))
+    with scratch(prints.sparkSession) as outer:
+        cells = prints.mapInArrow(_cells, "fp long, cell long")
+        shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = staged(cells.join(shared, "cell"), "cells")
+        small = met.where(F.col("n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forest, "a long, b long")
+        # crowded cells: points of the Hamming ball of radius 1; the least fingerprint of a point links to the others
+        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
+        balls = met.where(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(flips).alias("point"))
+        heads = balls.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+        large = balls.join(heads, "point").select("a", F.col("fp").alias("b")).where("a <> b")
+        return outer.out(small.unionByName(large).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id, n_links`` per row of ``docs``: the component's least id, and the number of stored links
     of the fingerprint's spanning set (0: alone)."""
-    prints = staged(fingerprint(docs, shingle), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = staged(links(distinct.select("fp")), "edges")
-    parts = components(edges)
-    # the least id of each component of fingerprints
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = staged(named.join(ids, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    with scratch(docs.sparkSession) as outer:
+        prints = outer.out(fingerprint(docs, shingle), "prints")
+        distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        edges = links(distinct.select("fp"))
+        parts = components(edges)
+        # the least id of each component of fingerprints
+        named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+        ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+        labels = outer.out(named.join(ids, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
@@ -160,10 +158,62 @@ def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, F.lit("0")))
 
 
+def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, ranks: Order) -> Iterator[pa.RecordBatch]:
+    """Fingerprint and wide shingle set of each text; of equal texts of a slice the first alone has the set."""
+    for batch in batches:
+        for rows, data, offsets in slices(batch, 3):
+            prints, sets = fingerprints_of(data, offsets, shingle), shingle_sets(data, offsets)
+            one, two = (rows.column(k).to_numpy() for k in (1, 2))
+            order = np.lexsort((two, one))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+            sets = [s[:0] if repeat else s for s, repeat in zip(sets, again.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(prints.view(np.int64)), pa.array(~again), *set_columns(sets, ranks)], names=["doc_id", "k1", "k2", "fp", "head", "grams", "keys"])
+
+
+def _text_keys(text) -> tuple[F.Column, F.Column]:
+    """Two 64-bit hashes of a text; null counts as empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row per group of near duplicates: the row of its least id (rows without id stay). Groups are the
-    components over the links of the fingerprint join and those of ``similar`` (five words, 0.8), both on all rows."""
-    narrow = near_duplicates(docs, shingle).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    parts = components(staged(narrow.unionByName(similar_links(docs)), "edges"))
-    gone = parts.where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row per group of near duplicates.
+
+    Nodes are distinct texts (null is the empty one). Groups are the components over the links of the fingerprint join and
+    those of ``similar`` (five words, 0.8), both over all nodes. The row of the group's least id stays; of several rows with
+    that id the one of the least text hash; of equal rows (id and text) one, whichever. Repeated ids with unlike texts are
+    rows of their own; rows without id stay. Other columns pass through, whatever their names; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    k1, k2 = _text_keys(F.col("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    order = learned_order(docs)
+    sketch = slim.mapInArrow(lambda it: _sketch(it, shingle, order), "doc_id long, k1 long, k2 long, fp long, head boolean, grams array<int>, keys array<long>").withColumn("node", F.monotonically_increasing_id())
+    with scratch(spark) as outer, bucketed(sketch, "node") as sets:
+        rows = staged(sets.groupBy("doc_id", "k1", "k2").agg(F.min(F.when(F.col("head"), F.col("node"))).alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "rows")
+        nodes = staged(rows.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("fp").alias("fp")), "nodes")
+        parts = components(links(nodes.select("fp").distinct()))
+        named = staged(nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("root")), "named")
+        narrow = named.join(named.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z"), "root").select("a", F.col("node").alias("b")).where("a <> b")
+        narrow = staged(narrow, "narrow")
+        wide = node_links(sets.where(F.size("grams") > 0).select("node", "grams", "keys"), nodes, narrow)
+        parts = components(narrow.unionByName(wide))
+        grouped = rows.drop("node").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
+        grouped = staged(grouped.select("doc_id", "k1", "k2", "n", "root"), "grouped")
+        place = F.struct("doc_id", "k1", "k2")
+        best = grouped.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("members"), F.max("n").alias("most")).where("members > 1 OR most > 1")
+        judged = grouped.join(best, "root").select("doc_id", "k1", "k2", "n", (place == F.col("best")).alias("stays"))
+        judged = staged(judged, "judged")
+        gone = outer.out(judged.where("NOT stays OR n > 1").select("doc_id", "k1", "k2"), "gone")
+        twice = outer.out(judged.where("stays AND n > 1").select("doc_id", "k1", "k2"), "twice")
+    names = [fresh(docs, n) for n in ("k1", "k2")]
+    keyed = docs.withColumns(dict(zip(names, (k1, k2), strict=True)))
+
+    def same(keys: DataFrame) -> F.Column:
+        return (keyed["doc_id"].cast("long") == keys["doc_id"]) & (keyed[names[0]] == keys["k1"]) & (keyed[names[1]] == keys["k2"])
+
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        kept = kept.union(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", *names]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

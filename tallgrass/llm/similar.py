@@ -6,157 +6,235 @@ shingles of each set in one common order, two sets at 0.8 share one of their fir
 the keys and no link is missed. The order puts the shingles last that are frequent in a sample of the texts; the sample
 decides how many keys are crowded, never which links are found. The exact similarity of the sets decides.
 
-Equal sets collapse first. In a key all members are compared with leaders (one in the first round, up to twice as many
-in each later one); leaders and their followers leave the key, until no key has two members left. Two members that never
-met are one of these: both followed one leader (one group already), or B followed A and A rejected C. The Jaccard
-distance is a metric, so B and C can only be linked if C is no farther from A than B is, plus the threshold; all such
-pairs whose groups are still apart are compared at the end. No group is held in one task.
+In a key all members are compared with leaders (``LEADERS`` in the first round, twice as many in each later one), but
+not with those of their own group: groups are the components over all links known so far, among them those of the
+fingerprint join. Leaders leave the key. A key is done when all its members are of one group. After each round the members
+still left are bounded by what they share with any of the others left (``_possible``), so that in a large group of
+copies those whose own changes forbid any link go at once, and members that differ too much are never compared. Two members that never met are of one group, or one of them
+was shown to have no partner in the key. No group is held in one task, and the sets stay in buckets of their nodes: a
+round moves its pairs and their sets only.
 
 Defined cases: words and case as in the fingerprints; texts with fewer words than a shingle have one shingle, the whole
-sequence; texts without words have no partner here; rows of null id are left out; an id that is repeated with several
-texts is one node with the links of all of them. Sets with the same size and the same two hashes (96 bits) are equal.
+sequence; texts without words have no partner here; rows of null id are left out by ``similar_links`` (``node_links`` knows
+no ids); an id that is repeated with several texts is one node with the links of all of them; an empty table gives no
+links. Partners are found by 64-bit hashes of shingles. Two sets are compared by 32 bits of them: for sets of n shingles
+the chance that the comparison is off by one shingle is n**2 / 2**32 (2e-5 for 300).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import gram_hashes, mix, run_hashes, slices, span_hashes, staged, word_bounds
+from tallgrass.llm.common import bucketed, gram_hashes, partitions, run_hashes, scratch, slices, span_hashes, staged, word_bounds
 from tallgrass.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: The order of shingles is learned from about so many texts, and names at most so many shingles as frequent.
 SAMPLE, FREQUENT = 4096, 1 << 18
+#: Leaders of a key in the first round; twice as many in each later one.
+LEADERS = 8
+#: 64-bit words of a member's parity bits.
+WORDS = 16
 #: Against rounding: similarities are fractions of integers, which differ by far more.
 SLACK = 1e-9
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The set of shingle hashes (uint32, sorted) of each text in a buffer."""
+    """The set of shingle hashes (uint64, sorted) of each text in a buffer."""
     starts, ends, firsts = word_bounds(data, offsets)
     codes = span_hashes(_LOWER[data], starts, ends)
     grams = gram_hashes(codes, shingle)
     out = []
     for lo, hi in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if hi - lo >= shingle:
-            found = mix(grams[lo : hi - shingle + 1])
+            found = grams[lo : hi - shingle + 1]
         else:
             found = run_hashes(codes, np.array([lo]), np.array([hi])) if hi > lo else np.zeros(0, np.uint64)
-        out.append(np.unique((found >> np.uint64(32)).astype(np.uint32)))
+        out.append(np.unique(found))
     return out
 
 
-def prefix(found: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The keys of one set: its first shingles in the order of ``counts`` (of the sorted ``known``; 0 for others) and hash."""
-    if not len(found):
-        return found
-    seen = np.zeros(len(found), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        seen = np.where(known[at] == found, counts[at], 0)
-    order = np.lexsort((found, mix(found.astype(np.uint64)), seen))
-    return found[order[: len(found) - math.ceil(similarity * len(found) - SLACK) + 1]]
+@dataclass(frozen=True)
+class Order:
+    """The order in which shingles become keys: those that are frequent in a sample last, the others by hash."""
+
+    known: np.ndarray
+    counts: np.ndarray
+    similarity: float = SIMILARITY
 
+    def keys(self, found: np.ndarray) -> np.ndarray:
+        """The keys of one set: its first shingles."""
+        if not len(found):
+            return found
+        seen = np.zeros(len(found), np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+            seen = np.where(self.known[at] == found, self.counts[at], 0)
+        order = np.lexsort((found, seen))
+        return found[order[: len(found) - math.ceil(self.similarity * len(found) - SLACK) + 1]]
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+
+def lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint32)).view(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, dtype), *parts])))
+
 
+def set_columns(sets: list[np.ndarray], order: Order) -> list[pa.ListArray]:
+    """``grams`` (the upper halves of the hashes, to compare two sets) and ``keys`` (whole hashes, to find partners)."""
+    return [lists([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64)]
 
-def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+
+def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, order: Order) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch):
-            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(shingle_sets(data, offsets, shingle))], names=["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *set_columns(shingle_sets(data, offsets, shingle), order)], names=["doc_id", "grams", "keys"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], similarity: float, known: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _gram_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.asarray(x, np.int32).view(np.uint32) for x in batch.column(1).to_numpy(zero_copy_only=False)]
-        keys = [prefix(s, similarity, known, counts) for s in sets]
-        n = pa.array(np.array([len(s) for s in sets], np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), n, _lists(keys)], names=["doc_id", "n", "keys"])
-
-
-def _order(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles of a sample (sorted) and their counts there."""
-    step = max(1, sets.count() // SAMPLE)
-    some = sets.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.explode("grams").alias("gram"))
-    top = some.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "gram").limit(FREQUENT).toPandas()
-    known, counts = top["gram"].to_numpy(np.int32).view(np.uint32), top["c"].to_numpy(np.int64)
+        for _, data, offsets in slices(batch, 0):
+            grams = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(data, offsets, shingle)])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], names=["gram"])
+
+
+def learned_order(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> Order:
+    """The order of shingles from about ``SAMPLE`` texts, chosen by their hash."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+    counted = some.mapInArrow(lambda it: _gram_counts(it, shingle), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    top = counted.where("c > 1").orderBy(F.desc("c"), "gram").limit(FREQUENT).toPandas()
+    known, counts = top["gram"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(known)
-    return known[order], counts[order]
+    return Order(known[order], counts[order], similarity)
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, reach: float) -> DataFrame:
-    """``(a, b, d)``: the pairs of ``pairs(a, b)`` with a Jaccard distance ``d`` of at most ``reach``."""
-    pairs = staged(pairs, "pairs")  # a known size: few pairs are sent to the sets instead of dealing all sets out again
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("of_a")), "a")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``pairs(a, b)`` that reach ``similarity``. ``sets`` is in buckets of its nodes, so only pairs are dealt
+    out, and one set for each pair."""
+    half = pairs.hint("shuffle_hash").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b")), "b")
+    both = half.hint("shuffle_hash").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), "a")
     measured = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return staged(measured.select("a", "b", (1 - F.col("common") / (F.col("both") - F.col("common"))).alias("d")).where(F.col("d") <= reach + SLACK), "near")
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.unionByName(more)
-    return out
+    return measured.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - SLACK).select("a", "b")
+
+
+def _labelled(nodes: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
+    """``nodes`` with the group of column ``node``; a node that is not in ``parts`` is a group of its own."""
+    named = parts.select(F.col("node").alias(node), F.col("component").alias(label))
+    return nodes.join(named, node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def _grouped(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """``members`` with their groups ``c``, of the keys that still have members of two groups or more."""
+    known = _labelled(members.drop("c"), parts, "node", "c")
+    split = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return known.join(split, "band").select("band", "node", "n", "c")
+
+
+def _possible(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``left`` with what bounds the links of its members, without those that find no set of a possible size in their key.
+
+    What two members share is at most what either shares with any member that is left: with ``shared`` such shingles,
+    a set of ``n`` reaches ``similarity`` only with sets of ``shared * (1 + similarity) / similarity - n`` or fewer
+    (``most``). ``bits`` is the parity of the shared shingles' hashes in ``64 * WORDS`` slots: each shingle that only one of
+    two sets has turns one bit, so the popcount of the difference is a lower bound of the number of such shingles.
+    """
+    nodes = left.select("node", "n").distinct()
+    grams = sets.join(nodes.hint("shuffle_hash"), "node").select("node", "n", F.explode("grams").alias("gram"))
+    twice = grams.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
+    word, bit = F.expr(f"pmod(shiftright(gram, 6), {WORDS})"), F.expr("shiftleft(1L, gram & 63)")
+    parity = F.array(*[F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0)).cast("long") for i in range(WORDS)])
+    sizes = grams.join(twice, "gram").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), parity.alias("bits"))
+    reach = sizes.select("node", F.least(F.col("n") / similarity, F.col("shared") * ((1 + similarity) / similarity) - F.col("n")).alias("most"), "shared", "bits")
+    bounded = left.join(reach, "node")
+    least = bounded.groupBy("band").agg(F.min("n").alias("least"))
+    return bounded.join(least, "band").where(F.col("least") <= F.col("most") + SLACK).select("band", "node", "n", "c", "most", "shared", "bits")
+
+
+def _can_link(left: DataFrame, heads: DataFrame, similarity: float) -> F.Column:
+    """Whether the bounds of a member and a leader leave a link possible."""
+    turned = sum((F.bit_count(left["bits"][i].bitwiseXOR(heads["a_bits"][i])) for i in range(WORDS)), F.lit(0))
+    own = left["n"] - left["shared"] + heads["a_n"] - heads["a_shared"]
+    sizes = (left["n"] <= heads["a_most"] + SLACK) & (heads["a_n"] <= left["most"] + SLACK)
+    return sizes & (turned + own <= (left["n"] + heads["a_n"]) * ((1 - similarity) / (1 + similarity)) + SLACK)
+
+
+def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
+    """``parts`` after the links ``near(a, b)``: only groups that these links join are looked at again."""
+    with scratch(parts.sparkSession) as outer:
+        cross = staged(_labelled(_labelled(near, parts, "a", "x"), parts, "b", "y").where("x <> y").select("x", "y").distinct(), "cross")
+        if cross.isEmpty():
+            return outer.out(parts, "parts")
+        joined = components(cross.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        alone = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+        fresh = alone.join(parts.select("node"), "node", "left_anti")
+        moved = parts.join(joined.withColumnRenamed("component", "now").withColumnRenamed("node", "component"), "component", "left")
+        return outer.out(moved.select("node", F.coalesce("now", "component").alias("component")).unionByName(fresh), "parts")
+
+
+def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: links of at least ``similarity`` that, with those ``known(a, b)``, connect all between which there are such
+    links. ``sets(node, grams, keys)`` is in buckets of ``node``; only ``nodes(node)`` count where these are given."""
+    spark, far = sets.sparkSession, 1 - similarity
+    with scratch(spark) as outer:
+        keys = sets.select("node", F.size("grams").alias("n"), F.explode("keys").alias("band"))
+        keys = keys.repartition(partitions(spark), "band")  # one exchange for the count and the join
+        crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
+        members = keys.join(crowded, "band").select("band", "node", "n")
+        members = staged(members if nodes is None else members.join(nodes.select("node"), "node", "left_semi"), "members")
+        parts = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known)
+        unbounded = {"most": F.col("n") / similarity, "shared": F.col("n").cast("long"), "bits": F.array_repeat(F.lit(0).cast("long"), WORDS)}
+        left = staged(_grouped(members, parts).withColumns(unbounded), "left")
+        found, leaders, own = [], LEADERS, ("node", "n", "c", "most", "shared", "bits")
+        while not left.isEmpty():
+            with scratch(spark) as block:
+                # of each slot of a key's groups the least node leads
+                slot = F.pmod(F.xxhash64("c", F.lit(leaders)), F.lit(leaders))
+                heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*own)).alias("head"))
+                heads = staged(heads.select("band", *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own]), "heads")
+                met = left.join(heads, (left["band"] == heads["band"]) & (left["c"] != heads["a_c"]) & _can_link(left, heads, similarity))
+                pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+                near = outer.out(_verified(pairs, sets, similarity), "near")
+                found.append(near)
+                parts = block.out(_merged(parts, near), "parts")
+                rest = left.select("band", "node", "n").join(heads.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
+                rest = staged(_grouped(rest, parts), "rest")
+                left = block.out(_possible(rest, sets, similarity), "left")
+            leaders *= 2
+        links = found[0] if found else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        for more in found[1:]:
+            links = links.unionByName(more)
+        return outer.out(links.distinct(), "links")
 
 
 def similar_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)`` with ``a < b``: links between ids of ``docs`` (doc_id, text), each of at least ``similarity``, that
     connect all ids between which there are such links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, grams array<int>").where(F.size("grams") > 0), "sketches")
-    same = ["n", "h", "g"]
-    named = sketches.withColumn("n", F.size("grams")).withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
-    firsts = staged(named.groupBy(*same).agg(F.min("doc_id").alias("a")), "firsts")
-    copies = staged(named.select("doc_id", *same).join(firsts, same).where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "copies")
-    own = firsts.select(F.col("a").alias("doc_id"), *same)
-    sets = named.join(own, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]).select("doc_id", "grams")
-    sets = staged(sets, "sets")
-    known, counts = _order(sets)
-    members = sets.mapInArrow(lambda it: _keys(it, similarity, known, counts), "doc_id long, n int, keys array<int>").select("doc_id", "n", F.explode("keys").alias("band"))
-    crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    left = staged(members.join(crowded, "band").select("band", "doc_id", "n"), "members")
-    far = 1 - similarity
-    measured, leaders = [], 1
-    while True:
-        # the least id of each slot of a key leads; keys with one member are done
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))
-        heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n")).alias("head")).select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("a_n"))
-        met = staged(left.join(heads, "band").where("doc_id <> a"), "met")
-        if met.isEmpty():
-            break
-        fits = F.least("n", "a_n") >= F.greatest("n", "a_n") * (1 - 2 * far) - SLACK
-        found = _distances(met.where(fits).select("a", F.col("doc_id").alias("b")).distinct(), sets, 2 * far)
-        measured.append(found)
-        follow = met.join(found.where(F.col("d") <= far + SLACK).select("a", F.col("b").alias("doc_id")), ["a", "doc_id"], "left_semi").select("band", "doc_id")
-        gone = follow.unionByName(heads.select("band", F.col("a").alias("doc_id"))).distinct()
-        left = staged(left.join(gone, ["band", "doc_id"], "left_anti"), "members")
-        leaders *= 2
-    if not measured:
-        return copies.distinct()
-    found = staged(_union(measured).distinct(), "measured")
-    near = found.where(F.col("d") <= far + SLACK)
-    # what a leader rejected, against its followers, where the distances to the leader leave a link possible
-    parts = components(near.select("a", "b"))
-    group = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
-    missed = found.where(F.col("d") > far + SLACK).join(group("a"), "a").join(group("b"), "b", "left").where("NOT of_a <=> of_b")
-    missed = staged(missed.select("a", F.col("b").alias("c"), F.col("d").alias("d_c")), "missed")
-    late = missed.join(near, "a").where(F.col("d_c") <= F.col("d") + far + 2 * SLACK).select(F.col("c").alias("a"), "b").where("a <> b").distinct()
-    links = _union([near, _distances(late, sets, far)]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links.unionByName(copies).distinct()
+    with scratch(docs.sparkSession) as outer:
+        order = learned_order(texts, shingle, similarity)
+        sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle, order), "doc_id long, grams array<int>, keys array<long>").where(F.size("grams") > 0), "sketches")
+        same = ["n", "h", "g"]
+        named = sketches.withColumn("n", F.size("grams")).withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
+        firsts = staged(named.groupBy(*same).agg(F.min("doc_id").alias("a")), "firsts")
+        copies = named.select("doc_id", *same).join(firsts, same).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+        own = firsts.select(F.col("a").alias("doc_id"), *same)
+        sets = named.join(own, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("node"), "grams", "keys")
+        with bucketed(sets, "node") as sets:
+            links = node_links(sets, similarity=similarity)
+            return outer.out(links.unionByName(copies).distinct(), "links")
 
 
 def repeated(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` of the documents that follow another of a smaller id in their group."""
-    parts = components(staged(similar_links(docs, shingle, similarity), "similar"))
+    parts = components(similar_links(docs, shingle, similarity))
     return parts.where("node <> component").select(F.col("node").alias("doc_id"))
