@@ -10,7 +10,8 @@ The fit reads a bounded sample: about ``SAMPLE`` labelled rows of each language,
 found from one count per language. ``MIN_SHARE`` bounds what reaches the driver: at most ``1 / MIN_SHARE`` n-grams for
 each language and length. Prediction is one pass without shuffle.
 
-Defined cases: a null text or one without letters is ``und`` with score 0; a null id is never learned from and not held
+Defined cases: a null text or one without letters is ``und`` with score 0; a text with letters of which no n-gram is known
+gets the language with most labelled rows (ties: first in order), with score 0; a null id is never learned from and not held
 out; without any labelled row every text is ``und``; labels of null are not learned; very long texts are read in pieces
 whose counts add up; other columns are not used.
 """
@@ -102,6 +103,8 @@ class Model:
     languages: list[str]
     table: np.ndarray  # rows x words of 64 languages
     false_rate: np.ndarray
+    #: The language of texts whose n-grams tell nothing.
+    likeliest: int = 0
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each text of a slice."""
@@ -131,8 +134,10 @@ class Model:
         rate = hits / np.maximum(total, 1)[:, None]
         true = np.clip((rate - self.false_rate) / (1 - self.false_rate), 0, 1)
         best = true.argmax(1) if len(self.languages) else np.zeros(len(total), int)
-        none = (n_letters == 0) | (total == 0) | (true.max(1, initial=0) <= 0)
-        score = np.where(none, 0.0, true.max(1, initial=0))
+        score = true.max(1, initial=0)
+        best = np.where(score > 0, best, self.likeliest)
+        none = (n_letters == 0) | (not self.languages)
+        score = np.where(none, 0.0, score)
         return [UNKNOWN if bad else self.languages[b] for bad, b in zip(none, best, strict=True)], score
 
 
@@ -191,7 +196,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     total = F.sum("n").over(Window.partitionBy("lang", "size"))
     frequent = counts.withColumn("total", total).where(F.col("n") >= F.col("total") * MIN_SHARE).select("lang", "gram").toPandas()  # at most 1 / MIN_SHARE a language and size
     languages = sorted(sizes)
-    return build(languages, {lang: np.sort(frequent.loc[frequent.lang == lang, "gram"].to_numpy(np.int64)).view(np.uint64) for lang in languages})
+    model = build(languages, {lang: np.sort(frequent.loc[frequent.lang == lang, "gram"].to_numpy(np.int64)).view(np.uint64) for lang in languages})
+    model.likeliest = max(range(len(languages)), key=lambda k: (sizes[languages[k]], -k))
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
