@@ -11,13 +11,13 @@ and the programme gets twice the words, up to the whole budget: the sum is alway
 the planned number of documents is chosen in the order of a seeded hash, so reruns agree.
 
 Scale: a source is planned from its length histogram, whose rows are distinct lengths, never documents. The seeded
-choice counts documents in ``SLOTS`` hash slots per length, takes whole slots and ranks only inside the one slot that
-the count cuts, so even a group of equal lengths that holds a third of all rows is ranked in pieces. Source totals are
-ranked by range partitions and reshared by single-row sums.
+choice needs one number for each length, the hash up to which documents are taken; it is found from counts by hash
+prefix and then by the hashes of the one prefix that the number falls in. Documents are only joined to the plan, one row
+for each source and length. Source totals are ranked by range partitions and reshared by single-row sums.
 
 Defined cases: a null text has no words; a document without words is never taken; null sources are one source, last in
-order; with equal seeds and ids (repeated rows) any of the equal rows may be the one taken, which gives the same rows;
-a null id hashes as a text of its own; an empty table gives no rows; other columns pass through.
+order; the hash is of id and text, so of repeated rows any may be the one taken (those of one hash at the cut are ranked in
+one task); a null id hashes as a text of its own; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import n_words, staged
+from tallgrass.llm.common import fresh, n_words, scratch, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
-#: Words that the dynamic programme fits in its first attempt, and the slots that a length's documents are dealt to.
-BUDGET, SLOTS = 4096, 256
+#: Words that the dynamic programme fits in its first attempt, and the leading bits of the hash by which the documents of a
+#: length are counted before single hashes are.
+BUDGET, SLOT_BITS = 4096, 12
+#: Lengths of all sources together (about 80 bytes each) up to which the plan is broadcast.
+BROADCAST_ROWS = 1 << 18
 SEED = 17
 
 
@@ -149,29 +152,61 @@ def _plan(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size", "n", "source_size", "target", "base", "take"]]
 
 
+def _cuts(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``source, size, cut, at_cut, alike`` of the lengths of which some documents are taken once more: those with a hash below
+    ``cut`` and ``at_cut`` of the ``alike`` ones with that hash. ``sizes`` has ``source, size, code``."""
+    counted = sizes.groupBy("source", "size", "code").agg(F.count(F.lit(1)).alias("m")).withColumn("slot", F.shiftright("code", 62 - SLOT_BITS))
+    some = plan.where("take > 0").select(F.col("source").alias("of"), F.col("size").alias("length"), "take")
+
+    def crossing(rows: DataFrame, order: str) -> DataFrame:
+        """The row of each length in which the running count reaches ``take``; ``below`` is the count before it."""
+        before = F.sum("m").over(Window.partitionBy("source", "size").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("below", F.coalesce(before, F.lit(0))).where("below < take AND take <= below + m")
+
+    slots = counted.groupBy("source", "size", "slot").agg(F.sum("m").alias("m"))
+    slots = slots.join(some, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length"))).drop("of", "length")
+    hit = crossing(slots, "slot").select(F.col("source").alias("of"), F.col("size").alias("length"), F.col("slot").alias("in_slot"), (F.col("take") - F.col("below")).alias("take"))
+    inside = counted.join(hit, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length")) & (F.col("slot") == F.col("in_slot")))
+    return crossing(inside.select("source", "size", "code", "m", "take"), "code").select("source", "size", F.col("code").alias("cut"), (F.col("take") - F.col("below")).alias("at_cut"), F.col("m").alias("alike"))
+
+
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken: a multiple of the size)."""
+    """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken: a multiple of the size). Columns of those
+    names in the input are replaced; all others pass through, whatever their names."""
+    spark = docs.sparkSession
     docs = docs.drop("size", "source_size", "target", "taken")
+    size, code, book, row = (fresh(docs, n) for n in ("words", "code", "book", "row"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = docs.withColumn("__size", n_words(F.col("text"))).withColumn("__hash", F.xxhash64(F.lit(seed), key))
-    slim = staged(sized.select(F.col("source"), F.col("__size").alias("size"), "__hash"), "sizes")
-    histogram = slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    aims = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    aimed = histogram.alias("h").join(aims.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "h.size", "h.n", "a.source_size", "a.target")
-    plan = staged(aimed.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, base long, take long"), "plan")
-    # seeded choice: whole slots below the cut, ranks inside the slot that it falls in
-    slot = F.pmod(F.col("__hash"), F.lit(SLOTS))
-    parts = slim.groupBy("source", "size", slot.alias("slot")).agg(F.count(F.lit(1)).alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = parts.withColumn("below", below).alias("c").join(plan.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.size") == F.col("p.size"))).select(
-        F.col("c.source").alias("__source"), F.col("c.size").alias("__length"), F.col("c.slot").alias("__cut"), "source_size", "target", "base", F.greatest(F.lit(0), F.least("c.m", F.col("p.take") - F.col("c.below"))).alias("want"), "m")
-    joined = sized.withColumn("__slot", slot).join(cuts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__length")) & (F.col("__slot") == F.col("__cut")))
-    rank = F.row_number().over(Window.partitionBy("__source", "__length", "__cut").orderBy("__hash", "doc_id"))
-    times = F.col("base") + F.when(F.col("want") == 0, 0).when(F.col("want") == F.col("m"), 1).otherwise((F.col("__rank") <= F.col("want")).cast("long"))
-    return joined.withColumn("__rank", rank).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * times).cast("long").alias("taken"))
+    sized = docs.withColumns({size: n_words(F.col("text")), code: F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, F.col("text")), 2)})
+    with scratch(spark) as outer:
+        sizes = staged(sized.select("source", F.col(size).alias("size"), F.col(code).alias("code")), "sizes")
+        histogram = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+        aims = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+        aimed = histogram.alias("h").join(aims.alias("a"), F.col("h.source").eqNullSafe(F.col("a.source"))).select("h.source", "h.size", "h.n", "a.source_size", "a.target")
+        plan = staged(aimed.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, base long, take long"), "plan")
+        cuts = _cuts(sizes, plan).alias("c")
+        planned = plan.alias("p").join(cuts, F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.size") == F.col("c.size")), "left")
+        planned = outer.out(planned.select("p.source", "p.size", "p.source_size", "p.target", "p.base", "c.cut", "c.at_cut", "c.alike"), "book")
+    told = planned.select(F.struct("*").alias(book))
+    if planned.count() <= BROADCAST_ROWS:  # else the texts are dealt out by source and length
+        told = F.broadcast(told)
+    joined = sized.join(told, F.col("source").eqNullSafe(F.col(f"{book}.source")) & (F.col(size) == F.col(f"{book}.size")))
+    split = (F.col(code) == F.col(f"{book}.cut")) & (F.col(f"{book}.at_cut") < F.col(f"{book}.alike"))
+
+    def result(rows: DataFrame, more: F.Column) -> DataFrame:
+        times = F.col(f"{book}.base") + F.coalesce(more.cast("long"), F.lit(0))
+        return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(size).alias("size"), F.col(f"{book}.source_size").alias("source_size"), F.col(f"{book}.target").alias("target"), (F.col(size) * times).cast("long").alias("taken"))
+
+    whole = result(joined.where(~F.coalesce(split, F.lit(False))), F.col(code) <= F.col(f"{book}.cut"))
+    if planned.where("at_cut < alike").isEmpty():
+        return whole
+    # equal rows of which only some are taken
+    rank = F.row_number().over(Window.partitionBy(f"{book}.source", f"{book}.size").orderBy(code))
+    return whole.union(result(joined.where(split).withColumn(row, rank), F.col(row) <= F.col(f"{book}.at_cut")))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed corpus itself: each document as often as it is taken."""
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.withColumn("__times", times).where("__times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).select(*columns)
+    names = [F.col(f"`{c}`") for c in columns]
+    return mixed.where(times > 0).select(*names, F.explode(F.sequence(F.lit(1), times)).alias(fresh(mixed, "copy"))).select(*names)
