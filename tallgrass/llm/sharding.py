@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import staged
+from tallgrass.llm.common import fresh, scratch, staged
 
 #: Bits of the hash, from MD5 of the id, that the directory may use.
 MAX_BITS = 60
@@ -27,8 +27,6 @@ FIRST, STEP = 10, 4
 #: Production limit of a shard, in bytes of UTF-8 text.
 SHARD_BYTES = 1 << 20
 
-OWN = ("__bits", "__size")
-
 
 def hash_bits(doc_id) -> F.Column:
     """``MAX_BITS`` bits of MD5 of the id's text, as a long."""
@@ -41,13 +39,13 @@ def prefix(bits, depth) -> F.Column:
 
 
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
-    """``(depth, slot, shard_bytes, oversized)``: one row per bucket. ``sizes`` has ``__bits`` and ``__size``."""
-    sums = staged(sizes.groupBy("__bits").agg(F.sum("__size").alias("__size"), F.count(F.lit(1)).alias("__docs")), "sizes")
+    """``(depth, slot, shard_bytes, oversized)``: one row per bucket. ``sizes`` has ``bits`` and ``size``."""
+    sums = staged(sizes.groupBy("bits").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")), "sizes")
     found, base = None, 0
     rest = sums
     while True:
         top = min(MAX_BITS, base + (STEP if base else FIRST))
-        fine = rest.groupBy(prefix("__bits", top).alias("fine")).agg(F.sum("__size").alias("size"), F.sum("__docs").alias("docs"), F.min("__bits").alias("lo"), F.max("__bits").alias("hi"))
+        fine = rest.groupBy(prefix("bits", top).alias("fine")).agg(F.sum("size").alias("size"), F.sum("docs").alias("docs"), F.min("bits").alias("lo"), F.max("bits").alias("hi"))
         levels = fine.select(F.explode(F.sequence(F.lit(base if base == 0 else base + 1), F.lit(top))).alias("depth"), "size", "docs", "lo", "hi").withColumn("slot", F.expr(f"shiftright(lo, cast({MAX_BITS} - depth as int))"))
         tree = staged(levels.groupBy("depth", "slot").agg(F.sum("size").alias("shard_bytes"), F.sum("docs").alias("n_docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "tree")
         done = (F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi")) | (F.col("depth") == MAX_BITS)
@@ -60,7 +58,7 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         if top == MAX_BITS:
             return found
         over = tree.where((F.col("depth") == top) & ~done).select(F.col("slot").alias("over"))
-        rest = staged(rest.join(over, prefix("__bits", top) == F.col("over"), "left_semi"), "over")
+        rest = staged(rest.join(over, prefix("bits", top) == F.col("over"), "left_semi"), "over")
         if rest.isEmpty():
             return found
         base = top
@@ -69,19 +67,18 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``shard`` (the directory's bit string, "" for a single bucket), ``shard_depth``, ``shard_bytes``,
     ``doc_bytes`` and ``oversized``. Columns of those names in the input are replaced."""
+    spark = docs.sparkSession
     docs = docs.drop("shard", "shard_depth", "shard_bytes", "doc_bytes", "oversized")
-    sized = docs.withColumn("__bits", hash_bits(F.col("doc_id"))).withColumn("__size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    book = directory(sized.select(*OWN), limit)
-    depths = [r.depth for r in book.select("depth").distinct().collect()]  # at most MAX_BITS + 1 numbers
-    book = book.select(F.col("depth").alias("shard_depth"), F.col("slot").alias("__slot"), "shard_bytes", "oversized")
-    # every document has one ancestor that is a leaf: try the depths in use as (depth, prefix) keys, one row each
-    keys = F.array(*[F.struct(F.lit(d).cast("int").alias("shard_depth"), prefix("__bits", d).alias("__slot")) for d in sorted(depths)]) if depths else F.array().cast("array<struct<shard_depth:int,__slot:bigint>>")
-    ids = sized.select("__bits").distinct() if len(depths) > 1 else None
-    if ids is None:
-        depth = depths[0] if depths else 0
-        out = sized.withColumn("shard_depth", F.lit(depth).cast("int")).withColumn("__slot", prefix("__bits", depth)).join(book, ["shard_depth", "__slot"])
-    else:
-        slots = ids.select("__bits", F.inline(keys)).join(book, ["shard_depth", "__slot"])
-        out = sized.join(slots, "__bits")
-    text = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("__slot").cast("string"), 10, 2), F.col("shard_depth"), F.lit("0")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("shard"), F.col("shard_depth").cast("long").alias("shard_depth"), "shard_bytes", F.col("__size").alias("doc_bytes"), "oversized")
+    bits, size, book = (fresh(docs, n) for n in ("bits", "size", "book"))
+    sized = docs.withColumns({bits: hash_bits(F.col("doc_id")), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    slim = sized.select(F.col(bits).alias("bits"), F.col(size).alias("size"))
+    with scratch(spark) as outer:
+        leaves = staged(directory(slim, limit).select("depth", "slot", "shard_bytes", "oversized"), "directory")
+        depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())  # at most MAX_BITS + 1 numbers
+        # every document has one ancestor that is a leaf: try the depths in use as (depth, prefix) keys
+        keys = F.array(*[F.struct(F.lit(d).cast("int").alias("depth"), prefix("bits", d).alias("slot")) for d in depths]) if depths else F.array().cast("array<struct<depth:int,slot:bigint>>")
+        slots = outer.out(slim.select("bits").distinct().select("bits", F.inline(keys)).join(leaves, ["depth", "slot"]), "slots")
+    out = sized.join(slots.select(F.struct("*").alias(book)), F.col(bits) == F.col(f"{book}.bits"))
+    depth = F.col(f"{book}.depth")
+    text = F.when(depth == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col(f"{book}.slot").cast("string"), 10, 2), depth, F.lit("0")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], text.alias("shard"), depth.cast("long").alias("shard_depth"), F.col(f"{book}.shard_bytes").alias("shard_bytes"), F.col(size).alias("doc_bytes"), F.col(f"{book}.oversized").alias("oversized"))
