@@ -98,11 +98,16 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Cuts lineage in a way that outlives executors: lost tasks reread files instead of recomputing (or losing) blocks.
     """
-    spark = df.sparkSession
-    path = _path(spark, label)
+    return restaged(df, None, label)[0]
+
+
+def restaged(df: DataFrame, old: str | None, label: str = "stage") -> tuple[DataFrame, str]:
+    """``df`` staged, and its path; ``old``, the path of a table that only ``df`` reads, is deleted then."""
+    spark, path = df.sparkSession, _path(df.sparkSession, label)
     with _freed_shuffles(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, [old] if old else [])
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextmanager
