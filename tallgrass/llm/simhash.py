@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm.common import bucketed, fresh, in_words, scratch, slices, staged, word_bounds
 from tallgrass.llm.components import components
-from tallgrass.llm.similar import Order, learned_order, node_links, set_columns, shingle_sets
+from tallgrass.llm.similar import SET_NAMES, SET_SCHEMA, Order, learned_order, node_links, set_columns, shingle_sets
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SEGMENTS = 16
@@ -168,7 +168,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, ranks: Order) -> It
             again = np.zeros(len(order), bool)
             again[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             sets = [s[:0] if repeat else s for s, repeat in zip(sets, again.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(prints.view(np.int64)), pa.array(~again), *set_columns(sets, ranks)], names=["doc_id", "k1", "k2", "fp", "head", "grams", "keys"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(prints.view(np.int64)), pa.array(~again), *set_columns(sets, ranks)], names=["doc_id", "k1", "k2", "fp", "head", *SET_NAMES])
 
 
 def _text_keys(text) -> tuple[F.Column, F.Column]:
@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     k1, k2 = _text_keys(F.col("text"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     order = learned_order(docs)
-    sketch = slim.mapInArrow(lambda it: _sketch(it, shingle, order), "doc_id long, k1 long, k2 long, fp long, head boolean, grams array<int>, keys array<long>").withColumn("node", F.monotonically_increasing_id())
+    sketch = slim.mapInArrow(lambda it: _sketch(it, shingle, order), f"doc_id long, k1 long, k2 long, fp long, head boolean, {SET_SCHEMA}").withColumn("node", F.monotonically_increasing_id())
     with scratch(spark) as outer, bucketed(sketch, "node") as sets:
         rows = staged(sets.groupBy("doc_id", "k1", "k2").agg(F.min(F.when(F.col("head"), F.col("node"))).alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "rows")
         nodes = staged(rows.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("fp").alias("fp")), "nodes")
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         named = staged(nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("root")), "named")
         narrow = named.join(named.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z"), "root").select("a", F.col("node").alias("b")).where("a <> b")
         narrow = staged(narrow, "narrow")
-        wide = node_links(sets.where(F.size("grams") > 0).select("node", "grams", "keys"), nodes, narrow)
+        wide = node_links(sets.where(F.size("grams") > 0).select("node", *SET_NAMES), nodes, narrow)
         parts = components(narrow.unionByName(wide))
         grouped = rows.drop("node").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
         grouped = staged(grouped.select("doc_id", "k1", "k2", "n", "root"), "grouped")

@@ -8,11 +8,11 @@ decides how many keys are crowded, never which links are found. The exact simila
 
 In a key all members are compared with leaders (``LEADERS`` in the first round, twice as many in each later one), but
 not with those of their own group: groups are the components over all links known so far, among them those of the
-fingerprint join. Leaders leave the key. A key is done when all its members are of one group. After each round the members
-still left are bounded by what they share with any of the others left (``_possible``), so that in a large group of
-copies those whose own changes forbid any link go at once, and members that differ too much are never compared. Two members that never met are of one group, or one of them
-was shown to have no partner in the key. No group is held in one task, and the sets stay in buckets of their nodes: a
-round moves its pairs and their sets only.
+fingerprint join. Leaders leave the key. A key is done when all its members are of one group, so two members that never
+met are of one group. A pair is compared only if its sizes and its parity bits allow: each set has ``64 * WORDS`` bits, the
+parities of its shingles' hashes; a shingle that only one of two sets has turns one bit, so the popcount of the
+difference is a lower bound of the number of such shingles. No group is held in one task, and the sets stay in buckets of
+their nodes: a round moves its pairs and their sets only.
 
 Defined cases: words and case as in the fingerprints; texts with fewer words than a shingle have one shingle, the whole
 sequence; texts without words have no partner here; rows of null id are left out by ``similar_links`` (``node_links`` knows
@@ -39,9 +39,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: The order of shingles is learned from about so many texts, and names at most so many shingles as frequent.
 SAMPLE, FREQUENT = 4096, 1 << 18
 #: Leaders of a key in the first round; twice as many in each later one.
-LEADERS = 8
-#: 64-bit words of a member's parity bits.
+LEADERS = 16
+#: 64-bit words of a set's parity bits.
 WORDS = 16
+SET_NAMES, SET_SCHEMA = ("grams", "keys", "bits"), "grams array<int>, keys array<long>, bits array<long>"
 #: Against rounding: similarities are fractions of integers, which differ by far more.
 SLACK = 1e-9
 
@@ -90,14 +91,15 @@ def lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
 
 
 def set_columns(sets: list[np.ndarray], order: Order) -> list[pa.ListArray]:
-    """``grams`` (the upper halves of the hashes, to compare two sets) and ``keys`` (whole hashes, to find partners)."""
-    return [lists([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64)]
+    """``grams`` (the upper halves of the hashes, to compare two sets), ``keys`` (whole hashes, to find partners) and ``bits``."""
+    parities = [np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1).view(np.int64) for s in sets]
+    return [lists([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64), lists(parities, np.int64)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, order: Order) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch):
-            yield pa.RecordBatch.from_arrays([rows.column(0), *set_columns(shingle_sets(data, offsets, shingle), order)], names=["doc_id", "grams", "keys"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), *set_columns(shingle_sets(data, offsets, shingle), order)], names=["doc_id", *SET_NAMES])
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -140,32 +142,11 @@ def _grouped(members: DataFrame, parts: DataFrame) -> DataFrame:
     return known.join(split, "band").select("band", "node", "n", "c")
 
 
-def _possible(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``left`` with what bounds the links of its members, without those that find no set of a possible size in their key.
-
-    What two members share is at most what either shares with any member that is left: with ``shared`` such shingles,
-    a set of ``n`` reaches ``similarity`` only with sets of ``shared * (1 + similarity) / similarity - n`` or fewer
-    (``most``). ``bits`` is the parity of the shared shingles' hashes in ``64 * WORDS`` slots: each shingle that only one of
-    two sets has turns one bit, so the popcount of the difference is a lower bound of the number of such shingles.
-    """
-    nodes = left.select("node", "n").distinct()
-    grams = sets.join(nodes.hint("shuffle_hash"), "node").select("node", "n", F.explode("grams").alias("gram"))
-    twice = grams.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram")
-    word, bit = F.expr(f"pmod(shiftright(gram, 6), {WORDS})"), F.expr("shiftleft(1L, gram & 63)")
-    parity = F.array(*[F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0)).cast("long") for i in range(WORDS)])
-    sizes = grams.join(twice, "gram").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), parity.alias("bits"))
-    reach = sizes.select("node", F.least(F.col("n") / similarity, F.col("shared") * ((1 + similarity) / similarity) - F.col("n")).alias("most"), "shared", "bits")
-    bounded = left.join(reach, "node")
-    least = bounded.groupBy("band").agg(F.min("n").alias("least"))
-    return bounded.join(least, "band").where(F.col("least") <= F.col("most") + SLACK).select("band", "node", "n", "c", "most", "shared", "bits")
-
-
 def _can_link(left: DataFrame, heads: DataFrame, similarity: float) -> F.Column:
-    """Whether the bounds of a member and a leader leave a link possible."""
+    """Whether sizes and parity bits of a member and a leader leave a link possible."""
     turned = sum((F.bit_count(left["bits"][i].bitwiseXOR(heads["a_bits"][i])) for i in range(WORDS)), F.lit(0))
-    own = left["n"] - left["shared"] + heads["a_n"] - heads["a_shared"]
-    sizes = (left["n"] <= heads["a_most"] + SLACK) & (heads["a_n"] <= left["most"] + SLACK)
-    return sizes & (turned + own <= (left["n"] + heads["a_n"]) * ((1 - similarity) / (1 + similarity)) + SLACK)
+    sizes = F.least(left["n"], heads["a_n"]) >= F.greatest(left["n"], heads["a_n"]) * similarity - SLACK
+    return sizes & (turned <= (left["n"] + heads["a_n"]) * ((1 - similarity) / (1 + similarity)) + SLACK)
 
 
 def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
@@ -183,7 +164,7 @@ def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
 
 def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)``: links of at least ``similarity`` that, with those ``known(a, b)``, connect all between which there are such
-    links. ``sets(node, grams, keys)`` is in buckets of ``node``; only ``nodes(node)`` count where these are given."""
+    links. ``sets(node, grams, keys, bits)`` is in buckets of ``node``; only ``nodes(node)`` count where these are given."""
     spark, far = sets.sparkSession, 1 - similarity
     with scratch(spark) as outer:
         keys = sets.select("node", F.size("grams").alias("n"), F.explode("keys").alias("band"))
@@ -192,9 +173,10 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
         members = keys.join(crowded, "band").select("band", "node", "n")
         members = staged(members if nodes is None else members.join(nodes.select("node"), "node", "left_semi"), "members")
         parts = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known)
-        unbounded = {"most": F.col("n") / similarity, "shared": F.col("n").cast("long"), "bits": F.array_repeat(F.lit(0).cast("long"), WORDS)}
-        left = staged(_grouped(members, parts).withColumns(unbounded), "left")
-        found, leaders, own = [], LEADERS, ("node", "n", "c", "most", "shared", "bits")
+        # the first round goes without parity bits: it has few pairs for its many members
+        no_bits = F.array_repeat(F.lit(0).cast("long"), WORDS)
+        left = staged(_grouped(members, parts).withColumn("bits", no_bits), "left")
+        found, leaders, own = [], LEADERS, ("node", "n", "c", "bits")
         while not left.isEmpty():
             with scratch(spark) as block:
                 # of each slot of a key's groups the least node leads
@@ -208,7 +190,8 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 parts = block.out(_merged(parts, near), "parts")
                 rest = left.select("band", "node", "n").join(heads.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
                 rest = staged(_grouped(rest, parts), "rest")
-                left = block.out(_possible(rest, sets, similarity), "left")
+                bits = sets.select("node", "bits").join(rest.select("node").distinct().hint("shuffle_hash"), "node")
+                left = block.out(rest.join(bits, "node").select("band", *own), "left")
             leaders *= 2
         links = found[0] if found else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         for more in found[1:]:
@@ -222,13 +205,13 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     with scratch(docs.sparkSession) as outer:
         order = learned_order(texts, shingle, similarity)
-        sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle, order), "doc_id long, grams array<int>, keys array<long>").where(F.size("grams") > 0), "sketches")
+        sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle, order), f"doc_id long, {SET_SCHEMA}").where(F.size("grams") > 0), "sketches")
         same = ["n", "h", "g"]
         named = sketches.withColumn("n", F.size("grams")).withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
         firsts = staged(named.groupBy(*same).agg(F.min("doc_id").alias("a")), "firsts")
         copies = named.select("doc_id", *same).join(firsts, same).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
         own = firsts.select(F.col("a").alias("doc_id"), *same)
-        sets = named.join(own, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("node"), "grams", "keys")
+        sets = named.join(own, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("node"), *SET_NAMES)
         with bucketed(sets, "node") as sets:
             links = node_links(sets, similarity=similarity)
             return outer.out(links.unionByName(copies).distinct(), "links")
