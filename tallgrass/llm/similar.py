@@ -42,7 +42,7 @@ SAMPLE, FREQUENT = 4096, 1 << 18
 LEADERS = 16
 #: 64-bit words of a set's parity bits.
 WORDS = 16
-SET_NAMES, SET_SCHEMA = ("grams", "keys", "bits"), "grams array<int>, keys array<long>, bits array<long>"
+SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits"), "n int, grams array<int>, keys array<long>, bits array<long>"
 #: Against rounding: similarities are fractions of integers, which differ by far more.
 SLACK = 1e-9
 
@@ -91,9 +91,11 @@ def lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
 
 
 def set_columns(sets: list[np.ndarray], order: Order) -> list[pa.ListArray]:
-    """``grams`` (the upper halves of the hashes, to compare two sets), ``keys`` (whole hashes, to find partners) and ``bits``."""
+    """``grams`` (the upper halves of the hashes, to compare two sets) and their number ``n``, ``keys`` (whole hashes, to find
+    partners) and ``bits``."""
+    halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
     parities = [np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1).view(np.int64) for s in sets]
-    return [lists([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64), lists(parities, np.int64)]
+    return [pa.array(np.array([len(h) for h in halves], np.int32)), lists(halves, np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64), lists(parities, np.int64)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, order: Order) -> Iterator[pa.RecordBatch]:
@@ -142,11 +144,17 @@ def _grouped(members: DataFrame, parts: DataFrame) -> DataFrame:
     return known.join(split, "band").select("band", "node", "n", "c")
 
 
-def _can_link(left: DataFrame, heads: DataFrame, similarity: float) -> F.Column:
-    """Whether sizes and parity bits of a member and a leader leave a link possible."""
-    turned = sum((F.bit_count(left["bits"][i].bitwiseXOR(heads["a_bits"][i])) for i in range(WORDS)), F.lit(0))
-    sizes = F.least(left["n"], heads["a_n"]) >= F.greatest(left["n"], heads["a_n"]) * similarity - SLACK
-    return sizes & (turned <= (left["n"] + heads["a_n"]) * ((1 - similarity) / (1 + similarity)) + SLACK)
+def _can_link(n: F.Column, bits: F.Column, a_n: F.Column, a_bits: F.Column, similarity: float) -> F.Column:
+    """Whether sizes and parity bits of two sets leave a link possible."""
+    turned = sum((F.bit_count(bits[i].bitwiseXOR(a_bits[i])) for i in range(WORDS)), F.lit(0))
+    return (F.least(n, a_n) >= F.greatest(n, a_n) * similarity - SLACK) & (turned <= (n + a_n) * ((1 - similarity) / (1 + similarity)) + SLACK)
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose parity bits leave a link possible: much less is dealt out for them than for whole sets."""
+    small = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.hint("shuffle_hash").join(small("b"), "b").hint("shuffle_hash").join(small("a"), "a")
+    return both.where(_can_link(F.col("b_n"), F.col("b_bits"), F.col("a_n"), F.col("a_bits"), similarity)).select("a", "b")
 
 
 def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
@@ -167,13 +175,13 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
     links. ``sets(node, grams, keys, bits)`` is in buckets of ``node``; only ``nodes(node)`` count where these are given."""
     spark, far = sets.sparkSession, 1 - similarity
     with scratch(spark) as outer:
-        keys = sets.select("node", F.size("grams").alias("n"), F.explode("keys").alias("band"))
+        keys = sets.select("node", "n", F.explode("keys").alias("band"))
         keys = keys.repartition(partitions(spark), "band")  # one exchange for the count and the join
         crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
         members = keys.join(crowded, "band").select("band", "node", "n")
         members = staged(members if nodes is None else members.join(nodes.select("node"), "node", "left_semi"), "members")
         parts = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known)
-        # the first round goes without parity bits: it has few pairs for its many members
+        # the many members of the first round go without parity bits, their pairs get them
         no_bits = F.array_repeat(F.lit(0).cast("long"), WORDS)
         left = staged(_grouped(members, parts).withColumn("bits", no_bits), "left")
         found, leaders, own = [], LEADERS, ("node", "n", "c", "bits")
@@ -183,8 +191,10 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 slot = F.pmod(F.xxhash64("c", F.lit(leaders)), F.lit(leaders))
                 heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*own)).alias("head"))
                 heads = staged(heads.select("band", *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own]), "heads")
-                met = left.join(heads, (left["band"] == heads["band"]) & (left["c"] != heads["a_c"]) & _can_link(left, heads, similarity))
+                met = left.join(heads, (left["band"] == heads["band"]) & (left["c"] != heads["a_c"]) & _can_link(left["n"], left["bits"], heads["a_n"], heads["a_bits"], similarity))
                 pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+                if leaders == LEADERS:
+                    pairs = staged(_bounded(pairs, sets, similarity), "bounded")
                 near = outer.out(_verified(pairs, sets, similarity), "near")
                 found.append(near)
                 parts = block.out(_merged(parts, near), "parts")
@@ -207,7 +217,7 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
         order = learned_order(texts, shingle, similarity)
         sketches = staged(texts.mapInArrow(lambda it: _sketch(it, shingle, order), f"doc_id long, {SET_SCHEMA}").where(F.size("grams") > 0), "sketches")
         same = ["n", "h", "g"]
-        named = sketches.withColumn("n", F.size("grams")).withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
+        named = sketches.withColumn("h", F.xxhash64("grams")).withColumn("g", F.hash("grams"))
         firsts = staged(named.groupBy(*same).agg(F.min("doc_id").alias("a")), "firsts")
         copies = named.select("doc_id", *same).join(firsts, same).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
         own = firsts.select(F.col("a").alias("doc_id"), *same)
