@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: The order of shingles is learned from about so many texts, and names at most so many shingles as frequent.
 SAMPLE, FREQUENT = 4096, 1 << 18
 #: Leaders of a key in the first round; twice as many in each later one.
-LEADERS = 16
+LEADERS = 2
 #: 64-bit words of a set's parity bits.
 WORDS = 16
 SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits"), "n int, grams array<int>, keys array<long>, bits array<long>"
