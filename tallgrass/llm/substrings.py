@@ -77,25 +77,19 @@ def _parts(kind: Kind, text: bytes) -> bytes | list[bytes]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], kind: Kind, bodies: bool) -> Iterator[pa.RecordBatch]:
-    """One row per run. ``again``: an earlier run of the same text has the same minimiser. ``bodies``: for the counts of
-    minimisers (hashes of the runs), else for the runs themselves (where they are)."""
+    """One row per run. ``bodies``: for the counts of minimisers (hashes of the runs), else for the runs themselves."""
     for batch in batches:
         for rows, data, offsets in slices(batch, 2):
             tokens = Tokens(kind, data, offsets)
             text, begin, n, mini, at = routes(tokens.codes, tokens.firsts, kind.window, kind.gram)
-            order = np.lexsort((begin, mini, text))
-            same = np.zeros(len(order), bool)
-            same[1:] = (mini[order][1:] == mini[order][:-1]) & (text[order][1:] == text[order][:-1])
-            again = np.empty(len(order), bool)
-            again[order] = same
             take = pa.array(text)
-            first = [pa.array(mini.view(np.int64)), rows.column(0).take(take), pa.array(again)]
-            if bodies:
-                body = run_hashes(tokens.codes, begin, begin + n + kind.window - 1)
-                yield pa.RecordBatch.from_arrays([*first, pa.array(body.view(np.int64))], names=["mini", "id", "again", "body"])
+            place = (begin - tokens.firsts[text]).astype(np.int32)
+            first = [pa.array(mini.view(np.int64)), rows.column(0).take(take), pa.array(place)]
+            if bodies:  # the minimiser's own place: runs of one start may hold it at different ones
+                body, first[2] = run_hashes(tokens.codes, begin, begin + n + kind.window - 1), pa.array((place + at).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*first, pa.array(body.view(np.int64))], names=["mini", "id", "place", "body"])
             else:
-                place = (begin - tokens.firsts[text]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*first, rows.column(1).take(take), pa.array(place), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["mini", "id", "again", "th", "start", "n", "at"])
+                yield pa.RecordBatch.from_arrays([*first, rows.column(1).take(take), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["mini", "id", "start", "th", "n", "at"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +127,13 @@ def _bodies(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Record
 
 
 def _body_batch(out: list) -> pa.RecordBatch:
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     names = ["mini", "key", "id", "start", "n", "at", "th", "body"]
     columns = list(zip(*out, strict=True)) or [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-BODY_SCHEMA = "mini long, key binary, id long, start int, n int, at int, th int, body binary"
+BODY_SCHEMA = "mini long, key binary, id long, start int, n int, at int, th long, body binary"
 
 
 def _recut(batches: Iterator[pa.RecordBatch], kind: Kind, level: int) -> Iterator[pa.RecordBatch]:
@@ -261,18 +255,19 @@ def covered(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """The packed texts ``(id, th, packed, doc_id)`` and the covered window ranges ``(id, th, a, b)``: windows a to b - 1
     of a text repeat."""
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash("text").alias("th"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     runs = slim.select("id", "th", "text")
-    counted = runs.mapInArrow(lambda it: _runs(it, kind, True), "mini long, id long, again boolean, body long")
-    minis = counted.groupBy("mini").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("again").alias("repeated"))
+    counted = runs.mapInArrow(lambda it: _runs(it, kind, True), "mini long, id long, place int, body long")
+    place = F.struct("id", "place")
+    minis = counted.groupBy("mini").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first"), F.max(place).alias("last"))
     if kind.words:  # only documents count, not places in them
-        seen, later = minis.where("first_id < last_id"), F.col("id") > F.col("first_id")
+        seen, later = minis.where("first.id < last.id"), F.col("id") > F.col("first.id")
     else:
-        seen, later = minis.where("first_id < last_id or repeated"), (F.col("id") > F.col("first_id")) | F.col("again")
-    seen = seen.select("mini", "first_id", (F.col("low") != F.col("high")).alias("mixed"))
-    met = staged(runs.mapInArrow(lambda it: _runs(it, kind, False), "mini long, id long, again boolean, th int, start int, n int, at int").join(seen, "mini"), "runs")
+        seen, later = minis.where("first < last"), F.struct("id", (F.col("start") + F.col("at")).alias("place")) > F.col("first")
+    seen = seen.select("mini", "first", (F.col("low") != F.col("high")).alias("mixed"))
+    met = staged(runs.mapInArrow(lambda it: _runs(it, kind, False), "mini long, id long, start int, th long, n int, at int").join(seen, "mini"), "runs")
     whole = met.where(~F.col("mixed") & later).select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))
-    packed = slim.mapInArrow(_pack, "id long, th int, packed binary, doc_id long")
+    packed = slim.mapInArrow(_pack, "id long, th long, packed binary, doc_id long")
     # texts of mixed minimisers' runs
     lists = met.where("mixed").select("id", "th", F.struct("mini", "start", "n", "at").alias("run")).distinct().groupBy("id", "th").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     texts = packed.select("id", "th", "packed").join(lists, ["id", "th"])
