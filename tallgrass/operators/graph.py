@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.plans.lineage import cut
+
 
 def symbols_like(nodes: DataFrame, pattern: str, limit: int = 30) -> DataFrame:
     """FLT-4: substring match in name or qualified name, case-insensitive; ``%`` and ``_`` of the pattern stay wildcards."""
@@ -31,12 +33,15 @@ def callers_of(nodes: DataFrame, edges: DataFrame, qn: str) -> DataFrame:
 
 def impact(edges: DataFrame, qn: str, depth: int = 2) -> DataFrame:
     """GRF-9: nodes that reach ``qn`` within ``depth`` steps, with their least distance. One join per level; depth is at
-    most 10."""
+    most 10. Each level is written in the shared folder, so the plan of the next one does not hold those before."""
     spark = edges.sparkSession
-    back = edges.select(F.col("source").alias("qn"), "target").distinct()
+    back = edges.select(F.col("source").alias("qn"), "target")
     seen = front = spark.createDataFrame([(qn, 0)], "qn string, depth long")
     for level in range(1, min(depth, 10) + 1):
-        front = back.join(front.select(F.col("qn").alias("target")), "target").select("qn").distinct().join(seen.select("qn"), "qn", "left_anti").withColumn("depth", F.lit(level).cast("long"))
+        reached = back.join(front.select(F.col("qn").alias("target")), "target").select("qn").distinct()
+        front = cut(reached.join(seen.select("qn"), "qn", "left_anti").withColumn("depth", F.lit(level).cast("long")))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 

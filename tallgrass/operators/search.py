@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 import pandas as pd
@@ -35,21 +36,28 @@ def _ranked(scored: DataFrame, counts: list[Column], length: Column) -> DataFram
     return scored.where(reduce(lambda a, b: a | b, [c > 0 for c in counts])).select("id", F.round(_score(counts, length, stats), 6).alias("score"))
 
 
+def _once(docs: DataFrame, value: Column, name: str, *kept: Column | str) -> DataFrame:
+    """``kept`` columns and ``value``, computed once a row: the optimiser copies a projected expression into each of its
+    uses and into filters, but nothing through a generator."""
+    return docs.select("id", *kept, F.explode(F.array(value)).alias(name))
+
+
 def _occurrences(word: str) -> Column:
-    return F.size(F.filter("words", lambda x: x == word))
+    return F.size(F.filter("hits", lambda x: x == word))
 
 
 def bm25(docs: DataFrame, words: list[str]) -> DataFrame:
-    """SRCH-9 without stemming: ``(id, score)`` of documents with any of the words. Terms are counted in place, so no
-    postings are shuffled for a single query: one pass for statistics, one for scores."""
-    cut = docs.select("id", T.words_of("text", keep_underscore=False).alias("words"))
+    """SRCH-9 without stemming: ``(id, score)`` of documents with any of the words. A text is cut once a pass, and only its
+    query words are counted, in place, so no postings are shuffled: one pass for statistics, one for scores."""
+    cut = _once(docs, T.words_of("text", keep_underscore=False), "words")
+    hits = _once(cut, F.filter("words", lambda x: x.isin(words)), "hits", F.size("words").alias("length"))
     counts = [_occurrences(w) for w in words]
-    return _ranked(cut, counts, F.size("words"))
+    return _ranked(hits, counts, F.col("length"))
 
 
 def trigram_bm25(docs: DataFrame, words: list[str]) -> DataFrame:
     """SRCH-10: the same over substrings; words under three characters match nothing."""
-    low = docs.select("id", T.ascii_lower(F.col("text")).alias("low"))
+    low = _once(docs, T.ascii_lower(F.col("text")), "low")
     words = [w for w in words if len(w) >= 3]
     counts = [((F.char_length("low") - F.char_length(F.replace("low", F.lit(w), F.lit("")))) / len(w)).cast("int") for w in words]
     return _ranked(low, counts, F.greatest(F.char_length("low") - 2, F.lit(0)))
@@ -112,16 +120,21 @@ def minimal_span(text: str, words: list[str]) -> int | None:
     if len(kinds) < 2:
         return None
     found.sort()
-    best, left, inside = None, 0, {}
-    for right, (_, _, w) in enumerate(found):
+    best, left, inside, ends = None, 0, {}, deque()  # ends: places of the window with falling ends, the first is the furthest
+    for right, (_, end, w) in enumerate(found):
         inside[w] = inside.get(w, 0) + 1
+        while ends and found[ends[-1]][1] <= end:
+            ends.pop()
+        ends.append(right)
         while len(inside) == len(kinds):
-            span = max(e for _, e, _ in found[left : right + 1]) - found[left][0]
+            span = found[ends[0]][1] - found[left][0]
             best = span if best is None else min(best, span)
             gone = found[left][2]
             inside[gone] -= 1
             if not inside[gone]:
                 del inside[gone]
+            if ends[0] == left:
+                ends.popleft()
             left += 1
     return best
 
@@ -139,5 +152,5 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float],
     fused = fuse({"bm25": top(bm25(docs, words), k), "trigram": top(trigram_bm25(docs, words), k), "dense": top(cosine(vectors, vector), k)})
     hits = docs.join(F.broadcast(fused), "id")  # at most 3 * k rows
     scored = hits.withColumn("score", F.round(F.col("score") + proximity_bonus(F.col("text"), words), 6)).orderBy(F.desc("score"), "id").limit(limit)
-    shown = scored.withColumn("low", T.ascii_lower(F.col("text")))
+    shown = _once(scored, T.ascii_lower(F.col("text")), "low", "text", "score", "bm25_rank", "trigram_rank", "dense_rank")
     return shown.select("id", "score", "bm25_rank", "trigram_rank", "dense_rank", best_window(F.col("text"), F.col("low"), words).alias("snippet"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
-from tallgrass.operators import changes, events, memory, prose, search
+from tallgrass.operators import changes, events, graph, memory, prose, search
 from tallgrass.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +111,33 @@ def test_digest_lists_all_targets(spark):
     assert got[got.place == 1].set_index("bucket").loc["bash", ["item", "n", "errors"]].tolist() == ["cmd0", 2, 1]
     assert got[(got.bucket == "read") & (got.place == 1)][["item", "n", "errors"]].values.tolist() == [["Read 0", 2, 1]]
     assert got.groupby("bucket").more.max().to_dict() == {"read": 0, "edit": 0, "search": 0, "bash": 0, "other": 4, "memory": 0, "execute": 0}
+
+
+def test_minimal_span_matches_brute_force():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        words = draw.sample(["a", "ab", "abc", "bcc", "ca"], draw.randint(1, 4))
+        text = "".join(draw.choice("abc ") for _ in range(draw.randint(0, 25)))
+        spots = [(i, i + len(w), w) for w in words for i in range(len(text)) if text.startswith(w, i)]
+        kinds, want = {w for *_, w in spots}, None
+        if len(kinds) > 1:
+            spans = [(s, e) for s, *_ in spots for _, e, _ in spots if {w for b, f, w in spots if s <= b and f <= e} == kinds]
+            want = min(e - s for s, e in spans)
+        got = search.minimal_span(text, words)
+        assert got == want, (text, words)
+
+
+def test_impact_plans_do_not_grow(spark):
+    chain = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(12)], "source string, target string")
+    got = graph.impact(chain, "n0", 10)
+    assert {(r.qn, r.depth) for r in got.collect()} == {(f"n{i}", i) for i in range(1, 11)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 12
+
+
+def test_lexical_rankers_cut_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta"), (2, None), (3, "gamma beta beta")], "id long, text string")
+    plan = search.bm25(docs, ["alpha", "beta", "gamma"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert search.trigram_bm25(docs, ["alpha", "beta"])._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
