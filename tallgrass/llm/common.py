@@ -111,12 +111,13 @@ def restaged(df: DataFrame, old: str | None, label: str = "stage") -> tuple[Data
 
 
 @contextmanager
-def bucketed(df: DataFrame, column: str) -> Iterator[DataFrame]:
-    """``df`` staged in buckets of ``column``: joins on it move the other side only. The table goes at the end of the block."""
+def bucketed(df: DataFrame, column: str, dealt: bool = False) -> Iterator[DataFrame]:
+    """``df`` staged in buckets of ``column``: joins on it move the other side only. The table goes at the end of the block.
+    A frame already ``dealt`` out by the column is not dealt out again."""
     spark, name, n = df.sparkSession, f"tallgrass_{uuid.uuid4().hex}", partitions(df.sparkSession)
     path = _path(spark, "buckets")
     with _freed_shuffles(spark):
-        df.repartition(n, column).write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        (df if dealt else df.repartition(n, column)).write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -6,7 +6,7 @@ shingles of each set in one common order, two sets at 0.8 share one of their fir
 the keys and no link is missed. The order puts the shingles last that are frequent in a sample of the texts; the sample
 decides how many keys are crowded, never which links are found. The exact similarity of the sets decides.
 
-In a key all members are compared with leaders (``LEADERS`` in the first round, twice as many in each later one), but
+In a key all members are compared with leaders (``LEADERS`` in the first round, ``GROWTH`` times as many in each later one), but
 not with those of their own group: groups are the components over all links known so far, among them those of the
 fingerprint join. Leaders leave the key. A key is done when all its members are of one group, so two members that never
 met are of one group. A pair is compared only if its sizes and its parity bits allow: each set has ``64 * WORDS`` bits, the
@@ -38,8 +38,8 @@ from tallgrass.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: The order of shingles is learned from about so many texts, and names at most so many shingles as frequent.
 SAMPLE, FREQUENT = 4096, 1 << 18
-#: Leaders of a key in the first round; twice as many in each later one.
-LEADERS = 2
+#: Leaders of a key in the first round, and how many times as many each later one has.
+LEADERS, GROWTH = 2, 8
 #: 64-bit words of a set's parity bits.
 WORDS = 16
 SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits"), "n int, grams array<int>, keys array<long>, bits array<long>"
@@ -137,11 +137,11 @@ def _labelled(nodes: DataFrame, parts: DataFrame, node: str, label: str) -> Data
     return nodes.join(named, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _grouped(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """``members`` with their groups ``c``, of the keys that still have members of two groups or more."""
-    known = _labelled(members.drop("c"), parts, "node", "c")
-    split = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    return known.join(split, "band").select("band", "node", "n", "c")
+def _split(members: DataFrame) -> DataFrame:
+    """``members(band, node, n, c)`` of the keys that have members of two groups or more, dealt out by ``band`` once."""
+    dealt = members.repartition(partitions(members.sparkSession), "band")  # one exchange for the groups and the join
+    split = dealt.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return dealt.join(split, "band").select("band", "node", "n", "c")
 
 
 def _can_link(n: F.Column, bits: F.Column, a_n: F.Column, a_bits: F.Column, similarity: float) -> F.Column:
@@ -173,37 +173,41 @@ def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
 def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """``(a, b)``: links of at least ``similarity`` that, with those ``known(a, b)``, connect all between which there are such
     links. ``sets(node, grams, keys, bits)`` is in buckets of ``node``; only ``nodes(node)`` count where these are given."""
-    spark, far = sets.sparkSession, 1 - similarity
+    spark = sets.sparkSession
     with scratch(spark) as outer:
-        keys = sets.select("node", "n", F.explode("keys").alias("band"))
-        keys = keys.repartition(partitions(spark), "band")  # one exchange for the count and the join
-        crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-        members = keys.join(crowded, "band").select("band", "node", "n")
-        members = staged(members if nodes is None else members.join(nodes.select("node"), "node", "left_semi"), "members")
-        parts = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if known is None else known)
-        # the many members of the first round go without parity bits, their pairs get them
-        no_bits = F.array_repeat(F.lit(0).cast("long"), WORDS)
-        left = staged(_grouped(members, parts).withColumn("bits", no_bits), "left")
+        no_links = sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        parts = components(no_links if known is None else known)
+        own_keys = sets.select("node", "n", "keys")
+        own_keys = own_keys if nodes is None else own_keys.join(nodes.select("node"), "node", "left_semi")
+        # groups are known before the keys are dealt out; the many members of the first round go without parity bits
+        members = _labelled(own_keys, parts, "node", "c").select(F.explode("keys").alias("band"), "node", "n", "c")
+        rest = _split(members).withColumn("bits", F.array_repeat(F.lit(0).cast("long"), WORDS))
         found, leaders, own = [], LEADERS, ("node", "n", "c", "bits")
-        while not left.isEmpty():
-            with scratch(spark) as block:
+        while True:
+            # in buckets of their keys the members meet their leaders, and leaders leave, without another exchange
+            with bucketed(rest, "band", dealt=leaders == LEADERS) as left, scratch(spark):
+                if left.isEmpty():
+                    break
                 # of each slot of a key's groups the least node leads
                 slot = F.pmod(F.xxhash64("c", F.lit(leaders)), F.lit(leaders))
                 heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*own)).alias("head"))
-                heads = staged(heads.select("band", *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own]), "heads")
-                met = left.join(heads, (left["band"] == heads["band"]) & (left["c"] != heads["a_c"]) & _can_link(left["n"], left["bits"], heads["a_n"], heads["a_bits"], similarity))
+                heads = heads.select(F.col("band").alias("key"), *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own])
+                may = _can_link(F.col("n"), F.col("bits"), F.col("a_n"), F.col("a_bits"), similarity)
+                met = left.join(heads, (F.col("band") == F.col("key")) & (F.col("c") != F.col("a_c")) & may)
                 pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
                 if leaders == LEADERS:
                     pairs = staged(_bounded(pairs, sets, similarity), "bounded")
                 near = outer.out(_verified(pairs, sets, similarity), "near")
                 found.append(near)
-                parts = block.out(_merged(parts, near), "parts")
-                rest = left.select("band", "node", "n").join(heads.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
-                rest = staged(_grouped(rest, parts), "rest")
-                bits = sets.select("node", "bits").join(rest.select("node").distinct().hint("shuffle_hash"), "node")
-                left = block.out(rest.join(bits, "node").select("band", *own), "left")
-            leaders *= 2
-        links = found[0] if found else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+                parts = outer.out(_merged(parts, near), "parts")
+                # compared by their bits, nodes are no second key of the join, so the buckets serve it
+                same = (F.col("band") == F.col("key")) & (F.col("node").bitwiseXOR(F.col("a")) == 0)
+                others = left.select("band", "node", "n").join(heads.select("key", "a"), same, "left_anti")
+                rest = outer.out(_split(_labelled(others, parts, "node", "c")), "rest")
+            bits = sets.select("node", "bits").join(rest.select("node").distinct().hint("shuffle_hash"), "node")
+            rest = rest.join(bits, "node").select("band", *own)
+            leaders *= GROWTH
+        links = found[0] if found else no_links
         for more in found[1:]:
             links = links.unionByName(more)
         return outer.out(links.distinct(), "links")
