@@ -131,6 +131,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return measured.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - SLACK).select("a", "b")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that a quarter of the hashes leaves possible: what differs there is a lower bound of what differs in all.
+    Parity bits say nothing of sets far larger than their number; this sends a quarter of such sets, not the whole."""
+    part = F.filter("grams", lambda g: g.bitwiseAND(F.lit(3)) == 0)
+    some = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), part.alias(f"of_{x}"))
+    both = pairs.hint("shuffle_hash").join(some("b"), "b").hint("shuffle_hash").join(some("a"), "a")
+    differ = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(differ <= (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + SLACK).select("a", "b")
+
+
 def _labelled(nodes: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
     """``nodes`` with the group of column ``node``; a node that is not in ``parts`` is a group of its own."""
     named = parts.select(F.col("node").alias(node), F.col("component").alias(label))
@@ -197,6 +207,7 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
                 if leaders == LEADERS:
                     pairs = staged(_bounded(pairs, sets, similarity), "bounded")
+                pairs = staged(_possible(pairs, sets, similarity), "possible")
                 near = outer.out(_verified(pairs, sets, similarity), "near")
                 found.append(near)
                 parts = outer.out(_merged(parts, near), "parts")
