@@ -11,7 +11,8 @@ not with those of their own group: groups are the components over all links know
 fingerprint join. Leaders leave the key. A key is done when all its members are of one group, so two members that never
 met are of one group. A pair is compared only if its sizes and its parity bits allow: each set has ``64 * WORDS`` bits, the
 parities of its shingles' hashes; a shingle that only one of two sets has turns one bit, so the popcount of the
-difference is a lower bound of the number of such shingles. No group is held in one task, and the sets stay in buckets of
+difference is a lower bound of the number of such shingles. A set of more shingles than that has as many bits as shingles
+or more besides (a power of two, so that bits fold), which are sent for its pairs alone. No group is held in one task, and the sets stay in buckets of
 their nodes: a round moves its pairs and their sets only.
 
 Defined cases: words and case as in the fingerprints; texts with fewer words than a shingle have one shingle, the whole
@@ -42,7 +43,7 @@ SAMPLE, FREQUENT = 4096, 1 << 18
 LEADERS, GROWTH = 2, 8
 #: 64-bit words of a set's parity bits.
 WORDS = 16
-SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits"), "n int, grams array<int>, keys array<long>, bits array<long>"
+SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits", "more"), "n int, grams array<int>, keys array<long>, bits array<long>, more array<long>"
 #: Against rounding: similarities are fractions of integers, which differ by far more.
 SLACK = 1e-9
 
@@ -90,12 +91,23 @@ def lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, dtype), *parts])))
 
 
+def parities(found: np.ndarray, words: int) -> np.ndarray:
+    """``64 * words`` bits (a power of two): the parities of the numbers of hashes that fall on each."""
+    spots = (found >> np.uint64(20)).astype(np.int64) % (64 * words)
+    return np.packbits(np.bincount(spots, minlength=64 * words) & 1).view(np.int64)
+
+
+def _more(found: np.ndarray) -> np.ndarray:
+    """As many parity bits as the set has hashes or more, if ``bits`` are fewer."""
+    return parities(found, 1 << (len(found) - 1).bit_length() - 6) if len(found) > 64 * WORDS else np.zeros(0, np.int64)
+
+
 def set_columns(sets: list[np.ndarray], order: Order) -> list[pa.ListArray]:
     """``grams`` (the upper halves of the hashes, to compare two sets) and their number ``n``, ``keys`` (whole hashes, to find
-    partners) and ``bits``."""
+    partners), ``bits``, and ``more`` bits of large sets."""
     halves = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
-    parities = [np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1).view(np.int64) for s in sets]
-    return [pa.array(np.array([len(h) for h in halves], np.int32)), lists(halves, np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64), lists(parities, np.int64)]
+    bits, more = [parities(s, WORDS) for s in sets], [_more(s) for s in sets]
+    return [pa.array(np.array([len(h) for h in halves], np.int32)), lists(halves, np.int32), lists([order.keys(s).view(np.int64) for s in sets], np.int64), lists(bits, np.int64), lists(more, np.int64)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, order: Order) -> Iterator[pa.RecordBatch]:
@@ -131,14 +143,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return measured.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - SLACK).select("a", "b")
 
 
+def _folded(bits: F.Column, words: F.Column) -> F.Column:
+    """Parity bits for half as many spots, if they are more than ``words``: each half's bits turn the other's."""
+    halves = F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > words, halves).otherwise(bits)
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that a quarter of the hashes leaves possible: what differs there is a lower bound of what differs in all.
-    Parity bits say nothing of sets far larger than their number; this sends a quarter of such sets, not the whole."""
-    part = F.filter("grams", lambda g: g.bitwiseAND(F.lit(3)) == 0)
-    some = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), part.alias(f"of_{x}"))
-    both = pairs.hint("shuffle_hash").join(some("b"), "b").hint("shuffle_hash").join(some("a"), "a")
-    differ = F.size("of_a") + F.size("of_b") - 2 * F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(differ <= (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + SLACK).select("a", "b")
+    """The pairs, of sizes that allow a link, that all their parity bits leave possible: much less is dealt out for them
+    than for whole sets. At this similarity the numbers of bits differ by a factor of two at most."""
+    own = F.when(F.size("more") > 0, F.col("more")).otherwise(F.col("bits"))
+    some = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), own.alias(f"{x}_bits"))
+    both = pairs.hint("shuffle_hash").join(some("b"), "b").hint("shuffle_hash").join(some("a"), "a").withColumn("words", F.least(F.size("a_bits"), F.size("b_bits")))
+    of_a, of_b = (_folded(F.col(f"{x}_bits"), F.col("words")) for x in "ab")
+    turned = F.aggregate(F.zip_with(of_a, of_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.where(turned <= (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + SLACK).select("a", "b")
 
 
 def _labelled(nodes: DataFrame, parts: DataFrame, node: str, label: str) -> DataFrame:
@@ -160,13 +179,6 @@ def _can_link(n: F.Column, bits: F.Column, a_n: F.Column, a_bits: F.Column, simi
     return (F.least(n, a_n) >= F.greatest(n, a_n) * similarity - SLACK) & (turned <= (n + a_n) * ((1 - similarity) / (1 + similarity)) + SLACK)
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose parity bits leave a link possible: much less is dealt out for them than for whole sets."""
-    small = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    both = pairs.hint("shuffle_hash").join(small("b"), "b").hint("shuffle_hash").join(small("a"), "a")
-    return both.where(_can_link(F.col("b_n"), F.col("b_bits"), F.col("a_n"), F.col("a_bits"), similarity)).select("a", "b")
-
-
 def _merged(parts: DataFrame, near: DataFrame) -> DataFrame:
     """``parts`` after the links ``near(a, b)``: only groups that these links join are looked at again."""
     with scratch(parts.sparkSession) as outer:
@@ -204,10 +216,10 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 heads = heads.select(F.col("band").alias("key"), *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own])
                 may = _can_link(F.col("n"), F.col("bits"), F.col("a_n"), F.col("a_bits"), similarity)
                 met = left.join(heads, (F.col("band") == F.col("key")) & (F.col("c") != F.col("a_c")) & may)
-                pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-                if leaders == LEADERS:
-                    pairs = staged(_bounded(pairs, sets, similarity), "bounded")
-                pairs = staged(_possible(pairs, sets, similarity), "possible")
+                pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.greatest("n", "a_n").alias("size")).distinct(), "pairs")
+                # members of the first round had no bits; later pairs of small sets have met all of theirs
+                known_bits = F.lit(leaders > LEADERS) & (F.col("size") <= 64 * WORDS)
+                pairs = staged(pairs.where(known_bits).select("a", "b").unionByName(_possible(pairs.where(~known_bits).select("a", "b"), sets, similarity)), "possible")
                 near = outer.out(_verified(pairs, sets, similarity), "near")
                 found.append(near)
                 parts = outer.out(_merged(parts, near), "parts")

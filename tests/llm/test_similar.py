@@ -100,3 +100,28 @@ def test_stage_follows_the_links_of_dropped_copies(spark):
     assert share(texts[0], texts[2]) < 0.8 <= share(texts[1], texts[2])
     df = spark.createDataFrame([*enumerate(texts, 1), (4, "quite another text of a few words")], "doc_id long, text string")
     assert sorted(d.doc_id for d in simhash.keep_one(df).collect()) == [1, 4]
+
+
+def test_large_sets_match_brute_force(spark):
+    r = random.Random(11)
+    texts = []
+    for size in (1028, 1100, 2052, 2300, 4100):  # about the sizes at which sets get twice as many parity bits
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        texts.append(" ".join(base))
+        for change in (0.02, 0.105, 0.115, 0.3):  # of a run of words: similarities about 0.96, 0.81, 0.79, 0.54
+            n = int(size * change)
+            texts.append(" ".join(base[: size - n] + [f"x{r.randrange(10**9)}" for _ in range(n)]))
+        texts.append(" ".join(base[: int(size * 0.83)]))  # fewer bits, or as many
+        texts.append(" ".join(base + [f"y{r.randrange(10**9)}" for _ in range(size // 5)]))
+    docs = list(enumerate(texts))
+    sets = {i: grams(t) for i, t in docs}
+    true = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = [(x.a, x.b) for x in similar.similar_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert set(got) <= set(true) and len(true) > 20
+    assert groups(got, sets) == groups(true, sets)
+
+
+def test_folded_parities_are_those_of_fewer_bits():
+    found = np.random.default_rng(3).integers(0, 1 << 63, 5000, np.uint64)
+    wide, half = similar.parities(found, 128), similar.parities(found, 64)
+    assert (wide[:64] ^ wide[64:] == half).all()
