@@ -23,13 +23,13 @@ def _any(fragments: str) -> re.Pattern:
     return re.compile(r"(?<!\w)(?:" + fragments + r")(?!\w)[ \t]*", re.I)
 
 
-_OPENERS = re.compile(r"(?:^|(?<=\n))[ \t]*(?:" + L.OPENERS + r")(?!\w)[ \t]*", re.I)
-_STRIKE = _any("|".join(sorted(L.STRIKE.split("|"), key=len, reverse=True)))
-_DROP = _any("|".join(sorted((L.FLUFF + "|" + L.FILLERS).split("|"), key=len, reverse=True)))
-_PHRASES = [(re.compile(rf"\b{re.escape(a)}\b", re.I), b) for a, b in sorted(L.pairs(L.PHRASES), key=lambda p: -len(p[0]))]
-_WORDS = dict(L.pairs(L.WORDS))
+_OPENERS = re.compile(r"(?:^|(?<=\n))[ \t]*(?:" + "|".join(L.OPENERS) + r")(?!\w)[ \t]*", re.I)
+_STRIKE = _any("|".join(sorted(L.STRIKE, key=len, reverse=True)))
+_DROP = _any("|".join(sorted(L.FLUFF + L.FILLERS, key=len, reverse=True)))
+_PHRASES = [(re.compile(rf"\b{re.escape(a)}\b", re.I), b) for a, b in sorted(L.PHRASES, key=lambda p: -len(p[0]))]
+_WORDS = dict(L.WORDS)
 _WORD = re.compile(r"\b(?:" + "|".join(_WORDS) + r")\b", re.I)
-_SHORT = [(re.compile(rf"\b{x}\b"), y) for a, b in L.pairs(L.CONTRACTIONS) for x, y in ((a, b), (a.capitalize(), b.capitalize()))] + [(re.compile(r"\bI am\b"), "I'm")]
+_SHORT = [(re.compile(rf"\b{x}\b"), y) for x, y in L.CONTRACTIONS] + [(re.compile(r"\bI am\b"), "I'm")]
 
 
 def _as_cased(old: str, new: str) -> str:
@@ -71,8 +71,8 @@ def tighten(text: str, professional: bool = False, contract: bool = True) -> tup
 
 
 _SHRINK_KEEP = re.compile(r"```.*?```|`[^`\n]*?`|(?:https?|ftp)://\S+|\.{0,2}/[\w./-]+|\b[A-Z][A-Z0-9_]{2,}\b|\b[A-Za-z_]\w*=\S+|\bv?\d+(?:\.\d+)+[\w.-]*\b|\b[A-Za-z_]\w*[.-][\w.-]+\b", re.S | re.A)
-_SHRINK = [(re.compile(re.escape(a), re.I), b) for a, b in L.pairs(L.SHRINK_PHRASES)]
-_SHRINK_WORD = re.compile(r"(?<![A-Za-z])(?:" + L.SHRINK_WORDS + r")(?![A-Za-z])", re.I)
+_SHRINK = [(re.compile(re.escape(a), re.I), b) for a, b in L.SHRINK_PHRASES]
+_SHRINK_WORD = re.compile(r"(?<![A-Za-z])(?:" + "|".join(L.SHRINK_WORDS) + r")(?![A-Za-z])", re.I)
 
 
 def shorten(text: str) -> str:
