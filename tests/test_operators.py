@@ -113,6 +113,15 @@ def test_digest_lists_all_targets(spark):
     assert got.groupby("bucket").more.max().to_dict() == {"read": 0, "edit": 0, "search": 0, "bash": 0, "other": 4, "memory": 0, "execute": 0}
 
 
+def test_digest_query_takes_commands_as_its_sql_does(spark, tmp_path):
+    said = [(1, 0, "user", "a\tb c"), (1, 1, "assistant", "Ends.\nNext one"), (1, 2, "assistant", "Ends. Next"), (1, 3, "assistant", " b"), (1, 4, "assistant", "\tEnds. b"), (1, 5, "assistant", None), (1, 6, None, "x\ny z")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    name = "session_digest_buckets"
+    assert rows(registry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(registry.oracle_sql()[name]).df())
+
+
 def test_minimal_span_matches_brute_force():
     import random
 
