@@ -6,8 +6,8 @@ by their number. Every document is judged by the same threshold: the score that
 labelled bad documents best (most balanced accuracy; the lower score on ties), 0 where there are no labels of both kinds.
 
 Counts cover all documents: each task adds up one vector of ``BUCKETS`` counts, and only these meet (a map-side partial
-sum whose size does not depend on the data). Labels are a bounded sample (``LABELS``), so they are broadcast and the
-texts are never shuffled. The threshold comes from a histogram of ``STEPS`` score steps, not from rows.
+sum whose size does not depend on the data). All labels count. Up to ``BROADCAST`` of them are broadcast, and no text is
+shuffled; more are joined by their ids, which deals out the texts once. The results are the same. The threshold comes from a histogram of ``STEPS`` score steps, not from rows.
 
 Defined cases: a null text has no words; it and any text of fewer than 20 words fail the base rules; with several labels
 of an id, a bad one wins; ids without label or with null labels are unlabelled; repeated rows are judged one by one;
@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import gram_hashes, mix, slices, span_hashes, staged, word_bounds
+from tallgrass.llm.common import gram_hashes, mix, scratch, slices, span_hashes, staged, word_bounds
 
 BUCKETS = 1 << 16
 #: Pseudo-counts added to each bucket of both multinomials, as a share of a uniform draw.
 SMOOTH = 1.0
 LOW, HIGH, STEPS = -4.0, 4.0, 1600
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
-#: The fit reads about so many labelled rows at most, chosen by a hash of the id; raw counts cover all documents.
-LABELS, SEED = 100_000, 23
+COUNTS = "bucket int, raw long, good long"
+#: So many labels at most are broadcast (12 bytes each).
+BROADCAST = 1_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,20 +130,24 @@ def labelled(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The log ratio of each bucket and the threshold."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = labelled(labels)
-    rate = min(1.0, LABELS / max(1, marks.count()))
-    unit = F.pmod(F.xxhash64(F.lit(SEED), F.col("label_id")), F.lit(1 << 30)) / float(1 << 30)
-    marks = staged(marks.where(unit < rate), "labels")  # about LABELS rows of 12 bytes at most, so it may be broadcast
-    marked = slim.join(F.broadcast(marks), slim.doc_id == marks.label_id, "left").select("doc_id", "text", "good")
-    got = marked.mapInArrow(_count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros((2, BUCKETS))
-    counts[0, got.bucket], counts[1, got.bucket] = got.raw, got.good
-    if not counts[1].sum():
-        return np.zeros(BUCKETS), 0.0
-    share = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)
-    ratio = np.log(share[1]) - np.log(share[0])
-    step = (HIGH - LOW) / STEPS
-    seen = marked.where("good is not null").mapInArrow(lambda it: _scores(it, ratio), "good int, score double").groupBy("good", F.floor((F.greatest(F.lit(LOW), F.least(F.lit(HIGH), "score")) - LOW) / step).alias("at")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    with scratch(docs.sparkSession):
+        marks = staged(labelled(labels), "labels")
+        if marks.count() <= BROADCAST:
+            marked = slim.join(F.broadcast(marks), slim.doc_id == marks.label_id, "left").select("doc_id", "text", "good")
+            counted = marked.mapInArrow(_count, COUNTS)
+        else:
+            marked = staged(slim.join(marks, slim.doc_id == marks.label_id).select("doc_id", "text", "good"), "marked")
+            every = slim.withColumn("good", F.lit(None).cast("int")).mapInArrow(_count, COUNTS)
+            counted = every.unionByName(marked.mapInArrow(_count, COUNTS).withColumn("raw", F.lit(0).cast("long")))
+        got = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()  # at most BUCKETS rows
+        counts = np.zeros((2, BUCKETS))
+        counts[0, got.bucket], counts[1, got.bucket] = got.raw, got.good
+        if not counts[1].sum():
+            return np.zeros(BUCKETS), 0.0
+        share = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)
+        ratio = np.log(share[1]) - np.log(share[0])
+        step = (HIGH - LOW) / STEPS
+        seen = marked.where("good is not null").mapInArrow(lambda it: _scores(it, ratio), "good int, score double").groupBy("good", F.floor((F.greatest(F.lit(LOW), F.least(F.lit(HIGH), "score")) - LOW) / step).alias("at")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     tally = np.zeros((2, STEPS + 1))
     for row in seen.itertuples():
         tally[int(row.good), int(row.at)] += row.n

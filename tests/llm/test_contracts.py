@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallgrass.llm import common, langid, mixing, sharding, simhash, substrings
+from tallgrass.llm import common, langid, mixing, quality, sharding, simhash, substrings
 
 
 def test_bytes_that_repeat_in_another_row_of_the_same_id(spark):
@@ -37,3 +37,19 @@ def test_clashing_columns_pass_through(spark):
 def test_stage_keeps_unlike_rows_of_one_id(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "m n o p q r"), (2, "m n o p q r")], "doc_id long, text string")
     assert sorted(r.text[0] for r in simhash.keep_one(docs).collect()) == ["a", "g", "m"]
+
+
+def test_quality_counts_all_labels(spark):
+    docs = spark.range(150_000).selectExpr("id AS doc_id", "concat('word', id % 997) AS text")
+    ratio, _ = quality.fit(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert not ratio.any()  # all documents are good ones, so the two multinomials are one
+
+
+def test_quality_is_the_same_however_labels_are_joined(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.limit(9)).union(docs.selectExpr("CAST(NULL AS BIGINT)", "text").limit(3))
+    labels = spark.createDataFrame([(i, (i // 3) % 2) for i in range(0, 200, 2)] + [(4, 0), (4, 1), (None, 1), (6, None), (10**6, 1)], "doc_id long, quality int")
+    want = quality.judge(docs, labels).collect()
+    monkeypatch.setattr(quality, "BROADCAST", 10)
+    got = quality.judge(docs, labels).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.kept for r in got}) == 2
