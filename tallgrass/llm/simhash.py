@@ -123,18 +123,29 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _met(prints: DataFrame) -> DataFrame:
+    """``(cell, fp, n)``: fingerprints in cells of ``n > 1``. Spark takes the cells for as small as the fingerprints that they
+    are made of (a thirty-third), so both sides are dealt out by hint: else it may send them all through the driver."""
+    cells = prints.mapInArrow(_cells, "fp long, cell long")
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cells.join(shared.hint("merge"), "cell")
+
+
+def _balls(prints: DataFrame) -> DataFrame:
+    """``(a, b)``: links among the fingerprints that share a point of their Hamming balls of radius 1; the least one of a point
+    links to the others. Dealt out by hint, since the balls count as a sixty-fifth of their rows."""
+    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
+    balls = prints.select("fp", F.explode(flips).alias("point"))
+    heads = balls.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+    return balls.join(heads.hint("merge"), "point").select("a", F.col("fp").alias("b")).where("a <> b")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """``(a, b)``: links that connect all distinct fingerprints ``fp`` within ``DISTANCE`` bits (a spanning set)."""
     with scratch(prints.sparkSession) as outer:
-        cells = prints.mapInArrow(_cells, "fp long, cell long")
-        shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = staged(cells.join(shared, "cell"), "cells")
+        met = staged(_met(prints), "cells")
         small = met.where(F.col("n") <= CELL).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forest, "a long, b long")
-        # crowded cells: points of the Hamming ball of radius 1; the least fingerprint of a point links to the others
-        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])
-        balls = met.where(F.col("n") > CELL).select("fp").distinct().select("fp", F.explode(flips).alias("point"))
-        heads = balls.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-        large = balls.join(heads, "point").select("a", F.col("fp").alias("b")).where("a <> b")
+        large = _balls(met.where(F.col("n") > CELL).select("fp").distinct())
         return outer.out(small.unionByName(large).distinct(), "links")
 
 

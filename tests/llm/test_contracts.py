@@ -53,3 +53,9 @@ def test_quality_is_the_same_however_labels_are_joined(spark, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST", 10)
     got = quality.judge(docs, labels).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.kept for r in got}) == 2
+
+
+def test_links_send_no_cells_or_balls_through_the_driver(spark):
+    fps = spark.range(300).selectExpr("id * 7 AS fp")
+    for df in (simhash._met(fps), simhash._balls(fps.distinct())):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
