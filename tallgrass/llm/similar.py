@@ -215,7 +215,8 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 heads = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct(*own)).alias("head"))
                 heads = heads.select(F.col("band").alias("key"), *[F.col(f"head.{x}").alias("a" if x == "node" else f"a_{x}") for x in own])
                 may = _can_link(F.col("n"), F.col("bits"), F.col("a_n"), F.col("a_bits"), similarity)
-                met = left.join(heads, (F.col("band") == F.col("key")) & (F.col("c") != F.col("a_c")) & may)
+                # compressed files say little of the heads' size (their bits above all): they never go through the driver
+                met = left.join(heads.hint("merge"), (F.col("band") == F.col("key")) & (F.col("c") != F.col("a_c")) & may)
                 pairs = staged(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.greatest("n", "a_n").alias("size")).distinct(), "pairs")
                 # members of the first round had no bits; later pairs of small sets have met all of theirs
                 known_bits = F.lit(leaders > LEADERS) & (F.col("size") <= 64 * WORDS)
@@ -225,7 +226,7 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
                 parts = outer.out(_merged(parts, near), "parts")
                 # compared by their bits, nodes are no second key of the join, so the buckets serve it
                 same = (F.col("band") == F.col("key")) & (F.col("node").bitwiseXOR(F.col("a")) == 0)
-                others = left.select("band", "node", "n").join(heads.select("key", "a"), same, "left_anti")
+                others = left.select("band", "node", "n").join(heads.select("key", "a").hint("merge"), same, "left_anti")
                 rest = outer.out(_split(_labelled(others, parts, "node", "c")), "rest")
             bits = sets.select("node", "bits").join(rest.select("node").distinct().hint("shuffle_hash"), "node")
             rest = rest.join(bits, "node").select("band", *own)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallgrass.llm import similar, simhash
+from tallgrass.llm import common, similar, simhash
 
 
 def grams(text):
@@ -125,3 +125,18 @@ def test_folded_parities_are_those_of_fewer_bits():
     found = np.random.default_rng(3).integers(0, 1 << 63, 5000, np.uint64)
     wide, half = similar.parities(found, 128), similar.parities(found, 64)
     assert (wide[:64] ^ wide[64:] == half).all()
+
+
+def test_leaders_do_not_go_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, label="stage"):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return common.staged(df, label)
+
+    monkeypatch.setattr(similar, "staged", recorded)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words[:k], "x", *words[k:]])) for k in range(40)], "doc_id long, text string")
+    assert similar.similar_links(docs).count() >= 39
+    met = [plan for label, plan in plans if label == "pairs"]
+    assert met and not any("Broadcast" in plan for plan in met)
