@@ -111,13 +111,16 @@ def restaged(df: DataFrame, old: str | None, label: str = "stage") -> tuple[Data
 
 
 @contextmanager
-def bucketed(df: DataFrame, column: str, dealt: bool = False) -> Iterator[DataFrame]:
+def bucketed(df: DataFrame | list[DataFrame], column: str, dealt: bool = False) -> Iterator[DataFrame]:
     """``df`` staged in buckets of ``column``: joins on it move the other side only. The table goes at the end of the block.
-    A frame already ``dealt`` out by the column is not dealt out again."""
-    spark, name, n = df.sparkSession, f"tallgrass_{uuid.uuid4().hex}", partitions(df.sparkSession)
-    path = _path(spark, "buckets")
+    A frame already ``dealt`` out by the column is not dealt out again. Of several frames (the parts of one table) one is
+    written after the other, so that the shuffle files of one part alone lie beside the table."""
+    parts = df if isinstance(df, list) else [df]
+    spark = parts[0].sparkSession
+    name, n, path = f"tallgrass_{uuid.uuid4().hex}", partitions(spark), _path(spark, "buckets")
     with _freed_shuffles(spark):
-        (df if dealt else df.repartition(n, column)).write.bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        for part in parts:
+            (part if dealt else part.repartition(n, column)).write.mode("append").bucketBy(n, column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -38,6 +38,10 @@ SEGMENTS = 16
 CELL = 64
 #: Shingles of one text that are hashed at once.
 PIECE = 1 << 16
+#: ``keep_one`` deals out the sets in so many parts, one after the other: disk holds the shuffle files of one.
+PARTS = 4
+#: ``marks``: bits for each row, and the bits at most (words of 64 go through the driver).
+SPARSE, MARKS = 16, 1 << 25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -188,6 +192,14 @@ def _text_keys(text) -> tuple[F.Column, F.Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
+def marks(rows: DataFrame, hashed: F.Column) -> tuple[DataFrame, int]:
+    """``(word, bits)``: a bitmap of the rows' hashes, one bit each, and its size in bits. A hash whose bit is not set is
+    none of theirs; others may share a bit. However many rows there are, the bitmap is small enough to broadcast."""
+    size = min(MARKS, 1 << max(6, (SPARSE * rows.count() - 1).bit_length()))
+    spots = rows.select(F.pmod(hashed, F.lit(size)).alias("spot"))
+    return spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("bits")), size
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row per group of near duplicates.
 
@@ -200,8 +212,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     k1, k2 = _text_keys(F.col("text"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     order = learned_order(docs)
-    sketch = slim.mapInArrow(lambda it: _sketch(it, shingle, order), f"doc_id long, k1 long, k2 long, fp long, head boolean, {SET_SCHEMA}").withColumn("node", F.monotonically_increasing_id())
-    with scratch(spark) as outer, bucketed(sketch, "node") as sets:
+
+    def part(p: int) -> DataFrame:
+        """Sets of the texts of one part, all copies of a text among them; the numbers of its nodes are no other part's."""
+        some = slim.where(F.pmod("k1", F.lit(PARTS)) == p)
+        sketch = some.mapInArrow(lambda it: _sketch(it, shingle, order), f"doc_id long, k1 long, k2 long, fp long, head boolean, {SET_SCHEMA}")
+        return sketch.withColumn("node", F.monotonically_increasing_id() * PARTS + p)
+
+    with scratch(spark) as outer, bucketed([part(p) for p in range(PARTS)], "node") as sets:
         rows = staged(sets.groupBy("doc_id", "k1", "k2").agg(F.min(F.when(F.col("head"), F.col("node"))).alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "rows")
         nodes = staged(rows.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("fp").alias("fp")), "nodes")
         parts = components(links(nodes.select("fp").distinct()))
@@ -218,13 +236,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         judged = staged(judged, "judged")
         gone = outer.out(judged.where("NOT stays OR n > 1").select("doc_id", "k1", "k2"), "gone")
         twice = outer.out(judged.where("stays AND n > 1").select("doc_id", "k1", "k2"), "twice")
-    names = [fresh(docs, n) for n in ("k1", "k2")]
-    keyed = docs.withColumns(dict(zip(names, (k1, k2), strict=True)))
+    # texts stay where they are unless a bitmap says that they may go: only those are dealt out for the join that decides
+    bitmap, size = marks(gone, F.xxhash64("doc_id", "k1", "k2"))
+    names = [fresh(docs, n) for n in ("k1", "k2", "spot", "word", "bits")]
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), k1, k2), F.lit(size))
+    keyed = docs.withColumns(dict(zip(names, (k1, k2, spot), strict=False)))
+    bitmap = bitmap.select(F.col("word").alias(names[3]), F.col("bits").alias(names[4]))
+    keyed = keyed.join(F.broadcast(bitmap), F.shiftright(names[2], 6) == F.col(names[3]), "left")
+    marked = F.coalesce(F.getbit(names[4], F.col(names[2]).bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    may_go = keyed.where(marked)
 
     def same(keys: DataFrame) -> F.Column:
-        return (keyed["doc_id"].cast("long") == keys["doc_id"]) & (keyed[names[0]] == keys["k1"]) & (keyed[names[1]] == keys["k2"])
+        return (may_go["doc_id"].cast("long") == keys["doc_id"]) & (may_go[names[0]] == keys["k1"]) & (may_go[names[1]] == keys["k2"])
 
-    kept = keyed.join(gone, same(gone), "left_anti")
+    kept = keyed.where(~marked).union(may_go.join(gone, same(gone), "left_anti"))
     if not twice.isEmpty():
-        kept = kept.union(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", *names]))
+        kept = kept.union(may_go.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", *names[:2]]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import bucketed, gram_hashes, partitions, run_hashes, scratch, slices, span_hashes, staged, word_bounds
@@ -41,6 +41,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 4096, 1 << 18
 #: Leaders of a key in the first round, and how many times as many each later one has.
 LEADERS, GROWTH = 2, 8
+#: Keys are dealt out in so many parts, one after the other: disk holds the shuffle files of one.
+PARTS = 4
 #: 64-bit words of a set's parity bits.
 WORDS = 16
 SET_NAMES, SET_SCHEMA = ("n", "grams", "keys", "bits", "more"), "n int, grams array<int>, keys array<long>, bits array<long>, more array<long>"
@@ -167,10 +169,10 @@ def _labelled(nodes: DataFrame, parts: DataFrame, node: str, label: str) -> Data
 
 
 def _split(members: DataFrame) -> DataFrame:
-    """``members(band, node, n, c)`` of the keys that have members of two groups or more, dealt out by ``band`` once."""
-    dealt = members.repartition(partitions(members.sparkSession), "band")  # one exchange for the groups and the join
-    split = dealt.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    return dealt.join(split, "band").select("band", "node", "n", "c")
+    """``members(band, node, n, c)`` of the keys that have members of two groups or more, dealt out by ``band`` once (for a
+    join of the members with their keys' groups Spark deals them out twice, with other columns each time)."""
+    dealt, key = members.repartition(partitions(members.sparkSession), "band"), Window.partitionBy("band")
+    return dealt.withColumns({"low": F.min("c").over(key), "high": F.max("c").over(key)}).where("low < high").select("band", "node", "n", "c")
 
 
 def _can_link(n: F.Column, bits: F.Column, a_n: F.Column, a_bits: F.Column, similarity: float) -> F.Column:
@@ -203,7 +205,7 @@ def node_links(sets: DataFrame, nodes: DataFrame | None = None, known: DataFrame
         own_keys = own_keys if nodes is None else own_keys.join(nodes.select("node"), "node", "left_semi")
         # groups are known before the keys are dealt out; the many members of the first round go without parity bits
         members = _labelled(own_keys, parts, "node", "c").select(F.explode("keys").alias("band"), "node", "n", "c")
-        rest = _split(members).withColumn("bits", F.array_repeat(F.lit(0).cast("long"), WORDS))
+        rest = [_split(members.where(F.pmod("band", F.lit(PARTS)) == p)).withColumn("bits", F.array_repeat(F.lit(0).cast("long"), WORDS)) for p in range(PARTS)]
         found, leaders, own = [], LEADERS, ("node", "n", "c", "bits")
         while True:
             # in buckets of their keys the members meet their leaders, and leaders leave, without another exchange

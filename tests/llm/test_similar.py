@@ -140,3 +140,49 @@ def test_leaders_do_not_go_through_the_driver(spark, monkeypatch):
     assert similar.similar_links(docs).count() >= 39
     met = [plan for label, plan in plans if label == "pairs"]
     assert met and not any("Broadcast" in plan for plan in met)
+
+
+def test_members_are_dealt_out_once(spark):
+    rows = [(k % 7, k, 5, k % 7 if k % 7 < 4 else k) for k in range(70)]  # keys 0 to 3 have members of one group
+    staged = common.staged(spark.createDataFrame(rows, "band long, node long, n int, c long"))
+    split = similar._split(staged)
+    assert sorted(map(tuple, split.collect())) == sorted(x for x in rows if x[0] > 3)
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_parts_are_one_bucketed_table(spark):
+    whole = spark.range(500).withColumnRenamed("id", "node")
+    with common.bucketed([whole.where(f"node % 3 = {p}") for p in range(3)], "node") as table:
+        assert sorted(x.node for x in table.collect()) == list(range(500))
+        grouped = table.groupBy("node").count()
+        assert grouped.count() == 500 and "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_miss_no_row(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 3000, 3)
+    bitmap, size = simhash.marks(rows, F.xxhash64("id"))
+    spots = spark.range(3000).select("id", F.pmod(F.xxhash64("id"), F.lit(size)).alias("spot"))
+    bits = {x.word: x.bits for x in bitmap.collect()}
+    hit = {x.id for x in spots.collect() if bits.get(x.spot >> 6, 0) >> (x.spot & 63) & 1}
+    assert hit >= set(range(0, 3000, 3)) and len(hit) < 1300
+
+
+def test_texts_that_stay_are_not_dealt_out(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[0]), (301, texts[1]), (None, texts[2]), (5, texts[5]), (6, texts[7])]
+    docs = common.staged(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((x.doc_id is None, x.doc_id or 0, x.text) for x in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [x for x in enumerate(texts) if x[0] != 7] + [(6, texts[7])]
+    assert got == sorted([(False, *x) for x in want] + [(True, 0, texts[2])])
+    anti = plan[plan.index("LeftAnti") :]
+    assert "Union" in plan and "getbit" in anti[: anti.index("Relation")].lower()
