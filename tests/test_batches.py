@@ -14,3 +14,15 @@ def test_many_small_files_share_batches():
     got = {(r["node"]["kind"], r["node"]["qn"]) for r in rows if r["node"]}
     assert len(got) == 9998 and ("Function", "a::7::f7") in got and ("File", "a::4999:file") in got
     assert [r["edge"]["source"] for r in rows if r["edge"]] == [f"a::{i}::f{i}" for i in range(4998)]
+
+
+def test_calls_are_resolved_in_one_pass(spark):
+    """Each of three passes over the files parsed them again."""
+    src = "from x import f\nfrom y import f, g as h\ndef own(): pass\ndef k():\n    own(); own.m(); f(); h.m(); a.b.c(); self.f(); no()\n"
+    found = extract.extract(spark.createDataFrame([("m.py", "python", src), ("n.py", "python", "def k():\n    own()\n")], "path string, lang string, text string"))
+    done = extract.resolve(found)
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [("m::own", 0.8), ("m::own.m", 0.8), ("x::f", 0.8), ("y::g.m", 0.8), ("a.b.c", 0.6), ("self.f", 0.6), ("no", 0.6), ("own", 0.6)]
+    calls = lambda df: sorted((r.target, r.confidence) for r in df.where("kind = 'Calls'").collect())
+    assert calls(done) == calls(extract.resolve_calls(extract.nodes_of(found), extract.edges_of(found))) == sorted(want)
+    assert done.where("kind = 'ImportsFrom'").count() == 2
