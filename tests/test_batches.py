@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tallgrass.operators import extract
+from tallgrass.operators import extract, lint
 
 
 def test_many_small_files_share_batches():
@@ -26,3 +26,15 @@ def test_calls_are_resolved_in_one_pass(spark):
     calls = lambda df: sorted((r.target, r.confidence) for r in df.where("kind = 'Calls'").collect())
     assert calls(done) == calls(extract.resolve_calls(extract.nodes_of(found), extract.edges_of(found))) == sorted(want)
     assert done.where("kind = 'ImportsFrom'").count() == 2
+
+
+def test_lines_of_many_small_files_share_batches():
+    """A frame per file cost more than its lines did."""
+    texts = ["# a\r\nb\n\n", None, "```\nx\n```", "x"] * 1000
+    files_ = pa.RecordBatch.from_pydict({"path": [f"{i}.md" for i in range(4000)], "lang": ["hash", "hash", "markdown", "none"] * 1000, "text": texts})
+    out = list(lint._lines_of(iter([files_]), ("path", "lang", "line", "kind", "body", "raw")))
+    assert len(out) == 1
+    rows = [tuple(r.values()) for r in out[0].to_pylist()]
+    want = [(f"{i}.md", lang, n, kind, body, raw) for i, (lang, src) in enumerate(zip(["hash", "hash", "markdown", "none"] * 1000, texts, strict=True)) for n, ((kind, body), raw) in enumerate(zip(lint.line_kinds(src or "", lang), (src or "").replace("\r\n", "\n").split("\n"), strict=False), 1)]
+    assert rows == want
+    assert [tuple(r.values()) for b in lint._lines_of(iter([files_]), ("path", "kind")) for r in b.to_pylist()] == [(w[0], w[3]) for w in want]
