@@ -38,3 +38,8 @@ def test_lines_of_many_small_files_share_batches():
     want = [(f"{i}.md", lang, n, kind, body, raw) for i, (lang, src) in enumerate(zip(["hash", "hash", "markdown", "none"] * 1000, texts, strict=True)) for n, ((kind, body), raw) in enumerate(zip(lint.line_kinds(src or "", lang), (src or "").replace("\r\n", "\n").split("\n"), strict=False), 1)]
     assert rows == want
     assert [tuple(r.values()) for b in lint._lines_of(iter([files_]), ("path", "kind")) for r in b.to_pylist()] == [(w[0], w[3]) for w in want]
+
+
+def test_report_is_as_of_whole_lines(spark):
+    files_ = spark.createDataFrame([("a.toml", "# ==========\nx\n# a world-class thing"), ("b.toml", "x"), ("c.bin", "# =========="), ("d.toml", None), ("e.rs", "//! a\n" * 7)], "path string, text string")
+    assert tuple(lint.report(lint.classify(files_, "path"), lint.violations(lint.classify(files_))).first()) == (4, 2, 3, 2)
