@@ -1,8 +1,11 @@
 """Python functions over Arrow batches: many small rows share a batch, large ones do not pile up; results as by single rows."""
 
+import numpy as np
 import pyarrow as pa
+import regex
 
-from tallgrass.operators import extract, lint
+from tallgrass.functions import text as T
+from tallgrass.operators import extract, lint, prose
 
 
 def test_many_small_files_share_batches():
@@ -43,3 +46,27 @@ def test_lines_of_many_small_files_share_batches():
 def test_report_is_as_of_whole_lines(spark):
     files_ = spark.createDataFrame([("a.toml", "# ==========\nx\n# a world-class thing"), ("b.toml", "x"), ("c.bin", "# =========="), ("d.toml", None), ("e.rs", "//! a\n" * 7)], "path string, text string")
     assert tuple(lint.report(lint.classify(files_, "path"), lint.violations(lint.classify(files_))).first()) == (4, 2, 3, 2)
+
+
+def test_embedding_hashes_words_in_batches():
+    """Each byte of each word and pair was hashed on its own, in every text anew."""
+    words = [f"w{i}" for i in range(200)]
+    texts = ["", "A", "É é K ſ a_b _ 😀", " ".join(words), " ".join(words * 3), "word" * 500 + " b", "a a a A"]
+
+    def plain(text):
+        found = [w.translate(str.maketrans(T.UPPER, T.LOWER)) for w in regex.findall(r"[\p{L}\p{N}_]+", text)]
+        out = np.zeros(256, np.float32)
+        for gram in found + [f"{a}_{b}" for a, b in zip(found, found[1:], strict=False)]:
+            h = 0xCBF29CE484222325
+            for byte in gram.encode():
+                h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+            out[h % 256] += 1 if h >> 63 else -1
+        return out / np.linalg.norm(out) if out.any() else out
+
+    assert np.array_equal(prose.embed_all(texts), [plain(t) for t in texts])
+    assert prose.embed_all([]).shape == (0, 256) and np.array_equal(prose.embed(texts[3]), plain(texts[3]))
+
+
+def test_embedding_of_a_table(spark):
+    got = {r.id: r.embedding for r in prose.hash_embed(spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id long, text string")).collect()}
+    assert {k: list(v) for k, v in got.items()} == {1: prose.embed("a b").tolist(), 2: [0.0] * 256, 3: prose.embed("c").tolist()}
