@@ -70,3 +70,23 @@ def test_embedding_hashes_words_in_batches():
 def test_embedding_of_a_table(spark):
     got = {r.id: r.embedding for r in prose.hash_embed(spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "id long, text string")).collect()}
     assert {k: list(v) for k, v in got.items()} == {1: prose.embed("a b").tolist(), 2: [0.0] * 256, 3: prose.embed("c").tolist()}
+
+
+def test_prose_patterns_are_tried_where_their_words_occur(monkeypatch):
+    """All hundred patterns ran over every text; a word with a long s failed the job."""
+    assert prose.tighten("It utilizeſ the very best.") == ("It uses the best.", 2)
+    assert prose.tighten("in ORDER to terminate, due to the fact that it is not. Sure! a horse is able to run") == ("To end, because it's not. Sure! A horse can run", 5)
+    tried = []
+
+    class Watched:
+        def subn(self, new, part):
+            tried.append(part)
+            return part, 0
+
+    for name in ("_STRIKE", "_DROP", "_WORD", "_OPENERS"):
+        monkeypatch.setattr(prose, name, Watched())
+    monkeypatch.setattr(prose, "_PHRASE_HEADS", [(h, Watched(), n) for h, _, n in prose._PHRASE_HEADS])
+    prose.tighten("Nothing of these lists stands here.")
+    assert not tried
+    prose.tighten("juſt")  # a letter that a pattern takes for s
+    assert tried
