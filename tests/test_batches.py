@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
+from tallgrass.functions.arrow import RUN_BYTES, RUN_ROWS, runs
 from tallgrass.operators import extract, lint, prose
 
 
@@ -90,3 +92,22 @@ def test_prose_patterns_are_tried_where_their_words_occur(monkeypatch):
     assert not tried
     prose.tighten("juſt")  # a letter that a pattern takes for s
     assert tried
+
+
+def test_runs_hold_few_bytes_or_rows():
+    """A worker held the texts and results of ten thousand rows at once."""
+    batch = pa.RecordBatch.from_pydict({"id": range(9000), "old": ["x" * 400_000] * 10 + [None] * 8990, "new": ["y" * 300_000] * 10 + ["z"] * 8990})
+    cut = list(runs(iter([batch, batch.slice(0, 0), batch.slice(5, 7)]), "old", "new"))
+    assert pa.Table.from_batches(cut).column("id").to_pylist() == [*range(9000), *range(5, 12)]
+    assert all(0 < c.num_rows <= RUN_ROWS for c in cut) and all(c.num_rows == 1 or sum(len(t or "") for k in ("old", "new") for t in c.column(k).to_pylist()) <= RUN_BYTES for c in cut)
+
+
+def test_text_transforms_go_by_runs(spark):
+    table = spark.createDataFrame([(1, "a\nb\nin order to test this"), (2, None), (3, "")], "id long, text string")
+    pairs = table.withColumn("old", F.col("text")).withColumn("new", F.regexp_replace("text", "b", "c"))
+    for df in (prose.line_delta(pairs), prose.humanise(table), prose.shrink(table), prose.chunk(table), prose.hash_embed(table)):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in prose.line_delta(pairs).orderBy("id").collect()] == [(1, 1, 1, "  a\n- b\n+ c\n  in order to test this"), (2, 0, 0, "  "), (3, 0, 0, "  ")]
+    assert [tuple(r) for r in prose.humanise(table).orderBy("id").collect()] == [(1, 25, 16, 1, "A\nb\nto test this"), (2, None, 0, 0, ""), (3, 0, 0, 0, "")]
+    assert [tuple(r) for r in prose.shrink(table).orderBy("id").collect()] == [(1, "b\nto test this"), (2, ""), (3, "")]
+    assert [tuple(r) for r in prose.chunk(table).collect()] == [(1, "a", "a\nb\nin order to test this", 1, 3)]
